@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import quality_rules
+    from . import langid, packing, quality_rules, toxicity
 
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_langid": langid.op3_langid,
+        "op4_packing": packing.op4_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 

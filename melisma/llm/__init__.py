@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import langid, packing, quality_rules, toxicity
+    from . import langid, ngram_join, packing, quality_rules, toxicity
 
     return {
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_langid": langid.op3_langid,
         "op4_packing": packing.op4_packing,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality_rules
+    from . import ngram_join, quality_rules
 
-    return {"op8_quality_rules": quality_rules.SQL}
+    return {
+        "op5_ngram_join": ngram_join.SQL,
+        "op8_quality_rules": quality_rules.SQL,
+    }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import langid, ngram_join, packing, quality_rules, toxicity
+    from . import hnsw, langid, ngram_join, packing, quality_rules, toxicity
 
     return {
         "op2_toxicity": toxicity.op2_toxicity,
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.op4_packing,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_hnsw": hnsw.op10_hnsw,
     }
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import hnsw, langid, ngram_join, packing, quality_rules, toxicity
+    from . import hnsw, langid, mixing, ngram_join, packing, quality_rules, toxicity
 
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_langid": langid.op3_langid,
         "op4_packing": packing.op4_packing,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import hnsw, langid, mixing, ngram_join, packing, quality_rules, toxicity
+    from . import hnsw, langid, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity
 
     return {
         "op1_mixing": mixing.op1_mixing,
@@ -16,15 +16,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid": langid.op3_langid,
         "op4_packing": packing.op4_packing,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_hnsw": hnsw.op10_hnsw,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import ngram_join, quality_rules
+    from . import line_dedup, ngram_join, quality_rules
 
     return {
         "op5_ngram_join": ngram_join.SQL,
+        "op7_line_dedup": line_dedup.SQL,
         "op8_quality_rules": quality_rules.SQL,
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import hnsw, langid, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity
+    from . import hnsw, langid, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity
 
     return {
         "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid": langid.op3_langid,
         "op4_packing": packing.op4_packing,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_hnsw": hnsw.op10_hnsw,
@@ -23,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, ngram_join, quality_rules
+    from . import license_scan, line_dedup, ngram_join, quality_rules
 
     return {
         "op5_ngram_join": ngram_join.SQL,
+        "op6_license_scan": license_scan.SQL,
         "op7_line_dedup": line_dedup.SQL,
         "op8_quality_rules": quality_rules.SQL,
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import hnsw, langid, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity
+    from . import hnsw, langid, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality_rules, toxicity
 
     return {
         "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": license_scan.op6_license_scan,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_pii": pii.op9_pii,
         "op10_hnsw": hnsw.op10_hnsw,
     }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -42,13 +43,37 @@ def cut(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that has one row a key: broadcast if its counted rows allow it, else dealt out with salted keys.
+def release(*tables: DataFrame | None) -> None:
+    """Delete cut tables that nothing needs any more, and let Spark clean up the shuffles behind them."""
+    spark = None
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if path.getParent().getName() == "melisma":
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if spark is not None:
+        sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer held."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, salted: bool = True) -> DataFrame:
+    """Join with a side that has one row a key: broadcast if its counted rows allow it, else dealt out with salted keys
+    (or plain ones, where no key of `big` can be hot).
 
     Null keys match nothing. `small` should be cheap to count (a cut table).
     """
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), key, how)
+    if not salted:
+        return big.join(small, key, how)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("_salt", salt).join(spread, [key, "_salt"], how).drop("_salt")

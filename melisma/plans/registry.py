@@ -1,29 +1,44 @@
-"""The queries over the driver's tables and their SQL twins."""
+"""All queries by key: the survey's operator id and a name."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("filters", "joins", "totals", "groups", "texts", "domain", "changes", "streams")
 
 
-def agg06_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = F.year("o_orderdate")
-    return (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .select((F.floor(year / 10) * 10).cast("long").alias("decade"))
-        .groupBy("decade")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("decade"))
-    )
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL twin if SQL can say it."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for m in _MODULES:
+        importlib.import_module(f"melisma.plans.{m}")
 
 
 def queries() -> dict[str, Query]:
-    return {"agg06_decades": agg06_decades}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"agg06_decades": "SELECT (floor(year(o_orderdate) / 10) * 10)::BIGINT AS decade, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC"}
+    _load()
+    return dict(_SQL)

@@ -1 +1 @@
-"""sources of the catalogue analytics library."""
+"""Where rows come from and go to: files, REST pages, snapshots."""

@@ -1 +1 @@
-"""streaming of the catalogue analytics library."""
+"""Streams: play counts and listening sessions."""

@@ -20,7 +20,7 @@ def from_epoch(seconds: Column) -> Column:
 
 
 def seconds_apart(a: Column, b: Column) -> Column:
-    return F.abs(F.unix_seconds(a) - F.unix_seconds(b))
+    return F.abs(F.unix_seconds(a.cast("timestamp")) - F.unix_seconds(b.cast("timestamp")))
 
 
 def age_hours(then: Column, now: Column) -> Column:

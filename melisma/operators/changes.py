@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from melisma.functions import dates
 
 def classify(scanned: DataFrame, known: DataFrame, key: str = "file_path") -> DataFrame:
     """scanned (key, file_size, mtime, content_hash) with action NEW, SKIP, TOUCH or UPDATE (CDC-01).
@@ -16,7 +17,7 @@ def classify(scanned: DataFrame, known: DataFrame, key: str = "file_path") -> Da
     known size or time equals nothing.
     """
     old = known.select(key, F.col("file_size").alias("_s"), F.col("mtime").alias("_m"), F.col("content_hash").alias("_h"), F.lit(True).alias("_k"))
-    near = F.coalesce((F.col("file_size") == F.col("_s")) & (F.abs(F.unix_seconds("mtime") - F.unix_seconds("_m")) < 2), F.lit(False))
+    near = F.coalesce((F.col("file_size") == F.col("_s")) & (dates.seconds_apart(F.col("mtime"), F.col("_m")) < 2), F.lit(False))
     action = F.when(F.col("_k").isNull(), "NEW").when(near, "SKIP").when(F.col("content_hash").eqNullSafe(F.col("_h")), "TOUCH").otherwise("UPDATE")
     return scanned.join(old, key, "left").withColumn("action", action).drop("_s", "_m", "_h", "_k")
 

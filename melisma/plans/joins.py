@@ -1 +1,202 @@
-"""placeholder"""
+"""JN-*, SET-*, QRY-*: joins, set operations and page queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from melisma.functions import strings
+from melisma.operators import browse, quality
+from melisma.plans.registry import query, table
+
+
+@query("SELECT o_custkey, count(*) AS tracks, sum(l_quantity)::BIGINT AS seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def jn01_inner_for_totals(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.count("*").alias("tracks"), F.sum("l_quantity").cast("long").alias("seconds"))
+
+
+@query("""SELECT o_custkey, min(l_partkey) AS sample FROM (SELECT o_custkey, l_partkey, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS r
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE r = 1 GROUP BY 1""")
+def jn02_sample_row(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).select("o_custkey", F.col("l_partkey").alias("sample"))
+    return browse.first_per_group(rows, ["o_custkey"], [F.asc("sample")])
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def jn03_required_include(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+
+
+@query("""SELECT l_orderkey, l_partkey, count(*) AS n, min(p_brand) AS brand, min(s_name) AS supplier FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 20
+LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 GROUP BY 1, 2""")
+def jn04_optional_includes(spark, d):
+    li, p, s = table(spark, d, "lineitem"), table(spark, d, "part").where("p_size < 20"), table(spark, d, "supplier").where("s_acctbal > 0")
+    rows = li.join(p, li.l_partkey == p.p_partkey, "left").join(s, li.l_suppkey == s.s_suppkey, "left")
+    return rows.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.min("p_brand").alias("brand"), F.min("s_name").alias("supplier"))
+
+
+@query("""SELECT c_custkey, n_name, array_to_string(coalesce(r, []), ',') AS releases FROM customer JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS r FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def jn05_to_many(spark, d):
+    c, n, o = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "orders")
+    lists = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("r"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(lists, c.c_custkey == lists.o_custkey, "left")
+    return rows.select("c_custkey", "n_name", F.coalesce(F.array_join("r", ","), F.lit("")).alias("releases"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def jn06_semi_genre(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation").where("n_regionkey = 2")
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left_semi").select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 7)")
+def jn07_in_list(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_suppkey = 7").select("l_orderkey").distinct()
+    return o.join(li, o.o_orderkey == li.l_orderkey, "left_semi").select("o_orderkey")
+
+
+@query("""SELECT p_partkey, coalesce(l.k, -1) AS local_id FROM part LEFT JOIN (SELECT l_partkey, max(l_orderkey) AS k FROM lineitem WHERE l_quantity > 40 GROUP BY 1) l ON l_partkey = p_partkey""")
+def jn08_last_wins(spark, d):
+    p = table(spark, d, "part")
+    last = browse.last_wins(table(spark, d, "lineitem").where("l_quantity > 40").select("l_partkey", "l_orderkey"), "l_partkey", "l_orderkey")
+    return p.join(last, p.p_partkey == last.l_partkey, "left").select("p_partkey", F.coalesce("l_orderkey", F.lit(-1)).cast("long").alias("local_id"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def jn09_anti(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return o.join(li, o.o_orderkey == li.l_orderkey, "left_anti").select("o_orderkey")
+
+
+@query("SELECT a.page_id, b.page_id IS NULL AS is_new FROM pages a LEFT JOIN (SELECT * FROM pages WHERE page_id % 4 <> 0) b ON a.url = b.url AND a.page_id = b.page_id")
+def jn10_change_join(spark, d):
+    a = table(spark, d, "pages").select("page_id", "url")
+    b = a.where("page_id % 4 <> 0").withColumn("known", F.lit(True))
+    return a.join(b, ["page_id", "url"], "left").select("page_id", F.col("known").isNull().alias("is_new"))
+
+
+@query("SELECT page_id, count(*) OVER (PARTITION BY regexp_extract(url, '^(.*)/[^/]*$', 1)) = 1 AS lone FROM pages")
+def jn11_lone_files(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
+    return quality.lone_files(rows).select("page_id", "lone")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def jn12_status_tracks(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return li.join(o, li.l_orderkey == o.o_orderkey, "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS favourite FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id)")
+def jn13_favourite_flag(spark, d):
+    docs, f = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").where("quality = 1").select("doc_id").distinct().withColumn("f", F.lit(True))
+    return docs.join(f, "doc_id", "left").select("doc_id", F.col("f").isNotNull().alias("favourite"))
+
+
+@query("""SELECT a.p_partkey, coalesce(min(b.p_partkey), -1) AS local_id FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND lower(a.p_name) = lower(b.p_name) AND b.p_partkey % 2 = 0 GROUP BY 1""")
+def jn14_title_match(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.lower("p_name").alias("k"))
+    local = p.where("p_partkey % 2 = 0").groupBy("p_brand", "k").agg(F.min("p_partkey").alias("local_id"))
+    return p.join(local, ["p_brand", "k"], "left").select("p_partkey", F.coalesce("local_id", F.lit(-1)).cast("long").alias("local_id"))
+
+
+@query("""SELECT conv_id, turn, role, c_name, n_name FROM conversations JOIN customer ON c_custkey = conv_id + 1 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def jn16_four_levels(spark, d):
+    t, c, n, r = table(spark, d, "conversations"), table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
+    rows = t.join(c, c.c_custkey == t.conv_id + 1).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return rows.select("conv_id", "turn", "role", "c_name", "n_name")
+
+
+@query("""SELECT a.doc_id, a.quality AS was, b.quality AS now FROM labels a JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE quality END AS quality FROM labels) b USING (doc_id) WHERE a.quality <> b.quality""")
+def jn17_before_after(spark, d):
+    a = table(spark, d, "labels").select("doc_id", F.col("quality").alias("was"))
+    b = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.col("quality")).alias("now"))
+    return a.join(b, "doc_id").where("was <> now").select("doc_id", "was", "now")
+
+
+@query("""SELECT k.id, coalesce(o.first, k.id) AS release_id FROM (SELECT unnest([1, 2, 3, 7, 999999999])::BIGINT AS id) k LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1) o ON o_custkey = k.id""")
+def jn18_two_step_id(spark, d):
+    ids = spark.range(1).select(F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3, 7, 999999999)])).alias("id"))
+    first = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    return ids.join(first, ids.id == first.o_custkey, "left").select("id", F.coalesce("first", "id").alias("release_id"))
+
+
+@query("""SELECT o_orderkey AS id, 'Matched' AS kind FROM orders WHERE o_custkey = 5 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+UNION ALL SELECT o_orderkey, 'Unmatched' FROM orders WHERE o_custkey = 5 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+UNION ALL SELECT DISTINCT l_orderkey, 'Appears On' FROM lineitem WHERE l_suppkey = 5 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = 5)""")
+def qry01_unified_releases(spark, d):
+    """An artist's releases with tracks, those without, and others' releases that the artist appears on (SET-01)."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    own = o.where("o_custkey = 5").select(F.col("o_orderkey").alias("id"))
+    tracks = li.select(F.col("l_orderkey").alias("id"))
+    guest = li.where("l_suppkey = 5").select(F.col("l_orderkey").alias("id")).distinct().join(own, "id", "left_anti")
+    kind = lambda df, k: df.withColumn("kind", F.lit(k))
+    return kind(own.join(tracks, "id", "left_semi"), "Matched").unionByName(kind(own.join(tracks, "id", "left_anti"), "Unmatched")).unionByName(kind(guest, "Appears On"))
+
+
+@query("""(SELECT 'artist' AS kind, c_custkey AS id, c_name AS label FROM customer WHERE contains(lower(c_name), '1') ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 5)
+UNION ALL (SELECT 'release', o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), '1') ORDER BY o_totalprice DESC, o_orderkey LIMIT 5)
+UNION ALL (SELECT 'track', p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_brand), '1') ORDER BY p_name, p_partkey LIMIT 5)""")
+def qry02_search_union(spark, d):
+    q = "1"
+    c, o, p = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "part")
+    out = lambda df, kind, key, label: df.limit(5).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"))
+    artists = c.where(browse.contains_text(F.col("c_name"), q)).orderBy(F.desc_nulls_first("c_acctbal"), "c_custkey")
+    releases = o.where(browse.contains_text(F.col("o_orderpriority"), q)).orderBy(F.desc("o_totalprice"), "o_orderkey")
+    tracks = p.where(browse.contains_text(F.col("p_name"), q) | browse.contains_text(F.col("p_brand"), q)).orderBy("p_name", "p_partkey")
+    return out(artists, "artist", "c_custkey", "c_name").unionByName(out(releases, "release", "o_orderkey", "o_orderpriority")).unionByName(out(tracks, "track", "p_partkey", "p_name"))
+
+
+@query("""SELECT 'release' AS kind, o_orderkey AS id, coalesce(t.k, -1) AS first_track FROM orders JOIN labels ON doc_id = o_orderkey AND quality = 1 LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS k FROM lineitem GROUP BY 1) t ON l_orderkey = o_orderkey
+UNION ALL SELECT 'track', p_partkey, p_partkey FROM part JOIN labels ON doc_id = p_partkey AND toxic = 1""")
+def qry03_favourites(spark, d):
+    o, li, p, f = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "labels")
+    first = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_track"))
+    rel = o.join(f.where("quality = 1"), o.o_orderkey == f.doc_id).join(first, o.o_orderkey == first.l_orderkey, "left")
+    tr = p.join(f.where("toxic = 1"), p.p_partkey == f.doc_id)
+    return rel.select(F.lit("release").alias("kind"), F.col("o_orderkey").alias("id"), F.coalesce("first_track", F.lit(-1)).cast("long").alias("first_track")).unionByName(tr.select(F.lit("track").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("first_track")))
+
+
+@query("""(SELECT 'latest' AS part, o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 12)
+UNION ALL (SELECT 'played', user_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 12)
+UNION ALL (SELECT 'playlists', conv_id FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 12)
+UNION ALL (SELECT 'favourites', doc_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 12)""")
+def qry04_home_page(spark, d):
+    o, e, t, f = table(spark, d, "orders"), table(spark, d, "events"), table(spark, d, "conversations"), table(spark, d, "labels")
+    part = lambda df, name, key: df.limit(12).select(F.lit(name).alias("part"), F.col(key).alias("id"))
+    played = e.groupBy("user_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t"), "user_id")
+    out = part(o.orderBy(F.desc("o_orderdate"), "o_orderkey"), "latest", "o_orderkey").unionByName(part(played, "played", "user_id"))
+    out = out.unionByName(part(t.select("conv_id").distinct().orderBy("conv_id"), "playlists", "conv_id"))
+    return out.unionByName(part(f.where("quality = 1").orderBy("doc_id"), "favourites", "doc_id"))
+
+
+_NORM = "trim(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_NORM} AS t FROM documents), b AS (SELECT {_NORM} AS t FROM benchmark)
+SELECT 'missing' AS side, count(*) AS n FROM b WHERE t NOT IN (SELECT t FROM a) UNION ALL SELECT 'extra', count(*) FROM a WHERE t NOT IN (SELECT t FROM b)""")
+def set02_missing_extra(spark, d):
+    title = strings.normalise_title(F.substring("text", 1, 40)).alias("t")
+    a, b = table(spark, d, "documents").select(title), table(spark, d, "benchmark").select(title)
+    n = lambda df, side: df.groupBy().agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+    return n(b.join(a, "t", "left_anti"), "missing").unionByName(n(a.join(b, "t", "left_anti"), "extra"))
+
+
+@query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
+def set03_union(spark, d):
+    return table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name")).distinct().orderBy("name")
+
+
+@query("SELECT DISTINCT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0)")
+def set05_unreadable(spark, d):
+    p = table(spark, d, "pages")
+    return p.where("page_id % 2 = 0").select("url").union(p.where("page_id % 3 = 0").select("url")).distinct().orderBy("url")
+
+
+@query("""SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(list(o_orderstatus), list(left(o_orderpriority, 1))))), ',') AS merged FROM orders GROUP BY 1""")
+def set06_merged_lists(spark, d):
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("a"), F.collect_list(F.substring("o_orderpriority", 1, 1)).alias("b"))
+    return g.select("o_custkey", F.array_join(F.array_sort(F.array_distinct(F.concat("a", "b"))), ",").alias("merged"))

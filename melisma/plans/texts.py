@@ -1 +1,219 @@
-"""placeholder"""
+"""STR-*, DT-*, MTH-*, ARR-*, MAP-*, JSN-*: column functions over the tables' texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from melisma.functions import arrays, dates, maps, maths, strings
+from melisma.operators import browse
+from melisma.plans.registry import query, table
+
+_NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_type || '!!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def str01_slug(spark, d):
+    return table(spark, d, "part").select("p_partkey", strings.ascii_slug(F.concat("p_name", F.lit(" & "), "p_type", F.lit("!!"))).alias("slug"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 50)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def str02_unicode_slug(spark, d):
+    return table(spark, d, "documents").select("doc_id", strings.unicode_slug(F.substring("text", 1, 50)).alias("slug"))
+
+
+@query(f"SELECT doc_id, {_NORM.format('text')} AS title FROM documents")
+def str03_normalise(spark, d):
+    return table(spark, d, "documents").select("doc_id", strings.normalise_title(F.col("text")).alias("title"))
+
+
+@query(f"SELECT item_id, {_NORM.format("regexp_replace(lower(text), '^the ', '')")} AS name FROM benchmark")
+def str04_artist_name(spark, d):
+    return table(spark, d, "benchmark").select("item_id", strings.normalise_artist(F.col("text")).alias("name"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(substr(text, 1, 200), '\s/\s|,\s*'), lambda g: lower(trim(g, ' '))), lambda g: g <> ''), '|') AS tokens FROM documents""")
+def str06_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(strings.genre_tokens(F.substring("text", 1, 200)), "|").alias("tokens"))
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'))::BIGINT AS n FROM documents")
+def str07_controls(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length(strings.strip_controls(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, sum(coalesce(try_cast(trim(split_part(l_linenumber || ' /' || l_quantity, '/', 1)) AS INTEGER), -1))::BIGINT AS n FROM lineitem GROUP BY 1")
+def str08_leading_number(spark, d):
+    tag = F.concat(F.col("l_linenumber").cast("string"), F.lit(" /"), F.col("l_quantity").cast("string"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.coalesce(strings.leading_number(tag), F.lit(-1))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, md5(lower(coalesce(lang, '')) || '|' || lower(coalesce(source, '')) || '||' || lower(coalesce(text, '')) || '|' || n_chars || '|0|0|') AS hash FROM documents")
+def str09_hash(spark, d):
+    none = F.lit(None).cast("string")
+    h = strings.content_hash(F.col("lang"), F.col("source"), none, F.col("text"), F.col("n_chars"), none, none, none)
+    return table(spark, d, "documents").select("doc_id", h.alias("hash"))
+
+
+@query("""SELECT page_id, regexp_replace(substr(url, 9), '^/+', '') AS relative, split_part(regexp_replace(substr(url, 9), '^/+', ''), '/', 1) AS folder, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent FROM pages WHERE starts_with(url, 'https://')""")
+def str10_paths(spark, d):
+    p = table(spark, d, "pages").where(F.col("url").startswith("https://"))
+    rel = strings.relative_path(F.col("url"), "https://")
+    return p.select("page_id", rel.alias("relative"), strings.first_folder(rel).alias("folder"), strings.parent_folder(F.col("url")).alias("parent"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0) ELSE printf('%d B', n) END AS size
+FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 17)::BIGINT AS n FROM orders)""")
+def str11_sizes(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", strings.byte_size((k * k * 17).cast("long")).alias("size"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s = 0 THEN '--:--' ELSE (s // 60) || ':' || lpad((s % 60)::VARCHAR, 2, '0') END AS duration FROM (SELECT o_orderkey, floor(o_totalprice / 500)::BIGINT AS s FROM orders)""")
+def str12_duration(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", strings.minutes_seconds(F.floor(F.col("o_totalprice") / 500)).alias("duration"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s = 0 THEN '0 seconds' WHEN s < 60 THEN '< 1m' ELSE trim(concat_ws(' ', CASE WHEN s // 86400 > 0 THEN (s // 86400) || 'd' END, CASE WHEN s % 86400 // 3600 > 0 THEN (s % 86400 // 3600) || 'h' END, CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm' END)) END AS playtime
+FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS s FROM orders) WHERE s % 86400 >= 60 OR s < 86400""")
+def str13_playtime(spark, d):
+    s = F.floor("o_totalprice")
+    return table(spark, d, "orders").where((s % 86400 >= 60) | (s < 86400)).select("o_orderkey", strings.playtime(s).alias("playtime"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages""")
+def str14_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(strings.html_escape(F.col("html"))).alias("escaped"))
+
+
+@query("SELECT page_id, string_split(url, '/')[-1] AS segment, string_split(url, '.')[-1] AS extension, CASE WHEN lower(string_split(url, '.')[-1]) = 'ogg' THEN 'audio/ogg' ELSE 'audio/mpeg' END AS mime FROM pages")
+def str15_segments(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", strings.last_segment(u).alias("segment"), strings.extension(u).alias("extension"), strings.mime_type(u).alias("mime"))
+
+
+@query("SELECT count(*) AS n FROM part WHERE lower(p_name) = lower(upper(p_name))")
+def str17_equal(spark, d):
+    return table(spark, d, "part").where(strings.same_ignoring_case(F.col("p_name"), F.upper("p_name"))).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, '%22' || replace(replace(p_type, '#', '%23'), ' ', '%20') || '%22' AS phrase FROM part""")
+def str18_phrase(spark, d):
+    return table(spark, d, "part").select("p_partkey", strings.phrase_query(F.col("p_type")).alias("phrase"))
+
+
+@query("SELECT count(*) AS n FROM pages WHERE starts_with(url, 'https')")
+def str19_prefix(spark, d):
+    return table(spark, d, "pages").where(F.col("url").startswith("https")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) AS initial FROM customer")
+def str20_initial(spark, d):
+    return table(spark, d, "customer").select("c_custkey", strings.initial(F.col("c_mktsegment")).alias("initial"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate) AS year FROM orders")
+def dt01_year_of_text(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", dates.year_of_text(F.date_format("o_orderdate", "yyyy-MM-dd")).cast("long").alias("year"))
+
+
+@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS s, true AS same FROM orders")
+def dt03_epoch(spark, d):
+    s = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', o_orderdate)")
+    back = F.to_utc_timestamp(dates.from_epoch(s), "UTC")
+    return table(spark, d, "orders").select("o_orderkey", s.alias("s"), (F.unix_seconds(back) == s).alias("same"))
+
+
+@query("SELECT event_id, abs(epoch(ts)::BIGINT - epoch(TIMESTAMP '2024-01-15 00:00:00')::BIGINT) < 86400 AS near FROM events WHERE date_trunc('second', ts) = ts")
+def dt04_apart(spark, d):
+    e = table(spark, d, "events").where(F.date_trunc("second", "ts") == F.col("ts"))
+    return e.select("event_id", (dates.seconds_apart(F.col("ts"), F.lit("2024-01-15").cast("timestamp")) < 86400).alias("near"))
+
+
+@query("SELECT event_id, datesub('hour', ts, TIMESTAMP '2024-03-01') AS hours FROM events")
+def dt05_age(spark, d):
+    return table(spark, d, "events").select("event_id", dates.age_hours(F.col("ts"), F.lit("2024-03-01").cast("timestamp")).alias("hours"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp, strftime(o_orderdate, '%d/%m/%Y, %H:%M') AS short FROM orders")
+def dt06_formats(spark, d):
+    t = F.col("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", dates.compact_stamp(t).alias("stamp"), dates.short_stamp(t).alias("short"))
+
+
+@query("SELECT c_custkey, least(99, greatest(0, floor(c_acctbal / 100 + 0.5)))::BIGINT AS x FROM customer")
+def mth01_clamp(spark, d):
+    return table(spark, d, "customer").select("c_custkey", maths.clamp(maths.round_half_up(F.col("c_acctbal") / 100), 0, 99).cast("long").alias("x"))
+
+
+@query(r"SELECT page_id, coalesce(try_cast(nullif(regexp_extract(string_split(url, '/')[-1], '^\s*([+-]?\d+)', 1), '') AS INTEGER), -1)::BIGINT AS n FROM pages")
+def mth02_parse_int(spark, d):
+    return table(spark, d, "pages").select("page_id", F.coalesce(maths.leading_int(strings.last_segment(F.col("url"))), F.lit(-1)).cast("long").alias("n"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(substr(text, 1, 300), ' ') AS ws FROM documents)
+SELECT doc_id, array_to_string(list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i), ' ') AS words FROM w""")
+def arr01_distinct(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(arrays.distinct_ignoring_case(F.split(F.substring("text", 1, 300), " ")), " ").alias("words"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS a, list_transform(string_split(substr(text, 101, 200), ' '), lambda y: lower(y)) AS b FROM documents)
+SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, lower(x))))::BIGINT AS n FROM w""")
+def arr02_minus(spark, d):
+    t = F.col("text")
+    left = arrays.without_ignoring_case(F.split(F.substring(t, 1, 200), " "), F.split(F.substring(t, 101, 200), " "))
+    return table(spark, d, "documents").select("doc_id", F.size(left).cast("long").alias("n"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(string_split(substr(text, 1, 200), ' ')) AS a, list_distinct(string_split(substr(text, 101, 200), ' ')) AS b FROM documents)
+SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM w""")
+def arr03_jaccard(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.round(arrays.jaccard(F.split(F.substring(t, 1, 200), " "), F.split(F.substring(t, 101, 200), " ")), 6).alias("jaccard"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 6) AS mean FROM embeddings")
+def arr04_mean(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(arrays.mean(F.col("embedding").cast("array<double>")), 6).alias("mean"))
+
+
+@query("SELECT vec_id, i - 1 AS place, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 5)) AS i FROM embeddings)")
+def arr05_zip(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.sequence(F.lit(0), F.lit(3)).alias("p"), F.slice("embedding", 1, 4).alias("v"))
+    rows = e.select("vec_id", F.inline(F.arrays_zip("p", "v")))
+    return rows.select("vec_id", F.col("p").cast("long").alias("place"), F.round(F.col("v").cast("double"), 6).alias("x"))
+
+
+_TAGS = "MAP {'ARTIST': source, 'TITLE': ' ', 'YEAR': n_chars::VARCHAR, 'MOOD_' || upper(lang): lang}"
+
+
+def _tags():
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    return F.map_from_entries(F.array(pair(F.lit("ARTIST"), F.col("source")), pair(F.lit("TITLE"), F.lit(" ")), pair(F.lit("YEAR"), F.col("n_chars").cast("string")), pair(F.concat(F.lit("MOOD_"), F.upper("lang")), F.col("lang"))))
+
+
+@query("SELECT doc_id, source <> '' AS any_value, coalesce(source, n_chars::VARCHAR) AS first, true AS has_title, lang <> '' AS mood, ['MOOD_' || upper(lang)] AS other FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def map01_tags(spark, d):
+    m = F.col("m")
+    rows = table(spark, d, "documents").where("lang is not null and source is not null").select("doc_id", _tags().alias("m"))
+    return rows.select("doc_id", maps.has_value(m, "title", "artist").alias("any_value"), maps.first_value(m, "TITLE", "ARTIST", "YEAR").alias("first"), maps.has_key(m, "title").alias("has_title"), maps.has_prefix(m, "mood_").alias("mood"), F.map_keys(maps.other_tags(m)).alias("other"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, (props::JSON ->> 'k') IS NOT NULL AS present FROM events")
+def map04_json_keys(spark, d):
+    m = F.from_json("props", "map<string, bigint>")
+    return table(spark, d, "events").select("event_id", F.try_element_at(m, F.lit("k")).alias("k"), F.coalesce(F.map_contains_key(m, F.lit("k")), F.lit(False)).alias("present"))
+
+
+@query("""SELECT n_regionkey, '["' || array_to_string(list(n_name ORDER BY n_name), '","') || '"]' AS json FROM nation GROUP BY 1""")
+def jsn01_to_json(spark, d):
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.sort_array(F.collect_list("n_name"))).alias("json"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def jsn02_from_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT event_id, coalesce(nullif(nullif(event_type, 'view'), ''), props, 'none') AS label FROM events")
+def cnd01_truthy(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(browse.first_given(F.nullif(F.col("event_type"), F.lit("view")), F.col("props")), F.lit("none")).alias("label"))

@@ -95,7 +95,7 @@ def dispatched(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def heard_position(position: Column, playing: Column, updated: Column, now: Column) -> Column:
     """Where a listener is between two reports of the host (STM-08)."""
-    return F.when(playing, position + (F.unix_micros(now) - F.unix_micros(updated)) / 1e6).otherwise(position)
+    return F.when(playing, position + (F.unix_micros(now.cast("timestamp")) - F.unix_micros(updated.cast("timestamp"))) / 1e6).otherwise(position)
 
 
 def next_mode(mode: str) -> str:

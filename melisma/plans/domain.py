@@ -11,15 +11,15 @@ from melisma.plans.texts import _NORM
 
 
 def _tag():
-    """A name tag with every kind of delimiter, from a document's first words."""
-    w = F.split(F.substring("text", 1, 60), " ")
+    """A name tag with every kind of delimiter, from words of a document."""
+    w = F.split("text", " ")
     at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
     n = F.col("doc_id") % 6
     return F.when(n == 0, F.concat(at(0), F.lit(" feat. "), at(1))).when(n == 1, F.concat(at(0), F.lit("/"), at(1), F.lit(";"), at(0))).when(n == 2, F.concat(at(0), F.lit(" (ft "), at(1), F.lit(")"))).when(n == 3, F.concat(at(0), F.lit(" // "), at(1), F.lit("|"), at(2))).when(n == 4, F.concat(at(0), F.lit(" & "), at(1))).otherwise(F.lit("Various Artists"))
 
 
 _TAG = """(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN a || ' feat. ' || b WHEN 1 THEN a || '/' || b || ';' || a WHEN 2 THEN a || ' (ft ' || b || ')' WHEN 3 THEN a || ' // ' || b || '|' || c WHEN 4 THEN a || ' & ' || b ELSE 'Various Artists' END AS tag
-FROM (SELECT doc_id, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c FROM (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS w FROM documents)))"""
+FROM (SELECT doc_id, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))"""
 _PIECES = r"list_filter(list_transform(string_split_regex(regexp_replace({}, ',([^\s0-9])', chr(1) || '\1', 'g'), '//|\\\\|\|\||[/;\\|' || chr(1) || ']'), lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN ('various artists', 'various', 'va'))"
 _DIST = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
 
@@ -57,11 +57,12 @@ def ent03_roles(spark, d):
 _SIM = f"""SELECT *, {_NORM.format("regexp_replace(lower(a), '^the ', '')")} AS x, {_NORM.format("regexp_replace(lower(b), '^the ', '')")} AS y"""
 
 
-@query(f"""WITH p AS ({_SIM} FROM (SELECT doc_id, substr(text, 1, 30) AS a, substr(text, 8, 30) AS b FROM documents)),
-w AS (SELECT doc_id, x, y, list_filter(string_split(x, ' '), lambda s: s <> '') AS wx, list_filter(string_split(y, ' '), lambda s: s <> '') AS wy FROM p)
-SELECT doc_id, x = y OR (len(wx) <> 1 AND len(wy) <> 1 AND (len(list_distinct(list_concat(wx, wy))) = 0 OR len(list_intersect(list_distinct(wx), list_distinct(wy))) / len(list_distinct(list_concat(wx, wy))) >= 0.5)) AS similar FROM w""")
+@query(f"""WITH p AS ({_SIM} FROM (SELECT p_partkey, p_name AS a, 'the ' || p_name || ' ' || p_type AS b FROM part)),
+w AS (SELECT p_partkey, x, y, list_filter(string_split(x, ' '), lambda s: s <> '') AS wx, list_filter(string_split(y, ' '), lambda s: s <> '') AS wy FROM p)
+SELECT p_partkey, x = y OR (len(wx) <> 1 AND len(wy) <> 1 AND (len(list_distinct(list_concat(wx, wy))) = 0 OR len(list_intersect(list_distinct(wx), list_distinct(wy))) / len(list_distinct(list_concat(wx, wy))) >= 0.5)) AS similar FROM w""")
 def ent04_jaccard(spark, d):
-    return table(spark, d, "documents").select("doc_id", matching.similar_names(F.substring("text", 1, 30), F.substring("text", 8, 30)).alias("similar"))
+    other = F.concat(F.lit("the "), "p_name", F.lit(" "), "p_type")
+    return table(spark, d, "part").select("p_partkey", matching.similar_names(F.col("p_name"), other).alias("similar"))
 
 
 @query("""WITH h AS (SELECT p_brand AS q, p_partkey AS id, p_name AS name, p_size * 2 AS score, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, first_value(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS query FROM part)
@@ -241,6 +242,6 @@ def dq11_overview(spark, d):
     return table(spark, d, "documents").agg(quality.ok_files(F.count("*"), F.count_if(n % 11 == 0), F.count_if(n % 2 == 1)).alias("ok"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(lower(substr(text, 1, 80)), ' '))), ' ') AS tokens FROM documents")
+@query("SELECT item_id, array_to_string(list_sort(list_distinct(string_split(lower(text), ' '))), ' ') AS tokens FROM benchmark")
 def set04_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(arrays.distinct_ignoring_case(F.split(F.lower(F.substring("text", 1, 80)), " "))), " ").alias("tokens"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(arrays.distinct_ignoring_case(F.split(F.lower("text"), " "))), " ").alias("tokens"))

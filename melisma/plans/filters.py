@@ -115,10 +115,10 @@ def flt17_types(spark, d):
     return table(spark, d, "part").where(~browse.skipped_type(F.substring_index("p_type", " ", 1), F.split("p_type", " "))).select("p_partkey")
 
 
-@query(r"""WITH n AS (SELECT doc_id, substr(text, 1, 60) AS name FROM documents)
+@query(r"""WITH n AS (SELECT doc_id, text AS name FROM documents)
 SELECT doc_id FROM n WHERE regexp_matches(name, '(?i)//|\\|\||;|/| feat\.? | ft\.? | featuring |\(feat|\(ft') OR regexp_matches(name, ',[^ 0-9]')""")
 def flt18_compound(spark, d):
-    return table(spark, d, "documents").where(matching.compound_name(F.substring("text", 1, 60))).select("doc_id")
+    return table(spark, d, "documents").where(matching.compound_name(F.col("text"))).select("doc_id")
 
 
 @query("SELECT 'index' AS source, 'no artist for ' || o_orderkey AS message FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey < 20 WHERE c_custkey IS NULL")
@@ -197,9 +197,9 @@ def prj03_image(spark, d):
     return table(spark, d, "pages").select("page_id", browse.image_url(remote, local, True, "/img/").alias("image"))
 
 
-@query("SELECT c_custkey FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_name LIMIT 20")
+@query("SELECT c_custkey FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_name")
 def srt01_mixed_sort(spark, d):
-    return table(spark, d, "customer").orderBy(F.desc_nulls_first("c_acctbal"), F.asc("c_name")).limit(20).select("c_custkey")
+    return table(spark, d, "customer").orderBy(F.desc_nulls_first("c_acctbal"), F.asc("c_name")).select("c_custkey")
 
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 24 OFFSET 24")
@@ -208,10 +208,10 @@ def srt02_selectable_sort(spark, d):
     return browse.page(c, browse.artist_order("score"), 2, 24).select("id", "name")
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem ORDER BY nullif(l_returnflag, 'N') ASC NULLS LAST, nullif(l_linenumber, 1) ASC NULLS LAST, l_shipdate ASC NULLS LAST, l_orderkey, l_partkey, l_suppkey, l_extendedprice LIMIT 50""")
+@query("""SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem ORDER BY nullif(l_returnflag, 'N') ASC NULLS LAST, nullif(l_linenumber, 1) ASC NULLS LAST, l_shipdate ASC NULLS LAST, l_orderkey, l_partkey, l_suppkey, l_extendedprice""")
 def srt03_nullable_sort(spark, d):
     order = [F.asc_nulls_last(F.nullif(F.col("l_returnflag"), F.lit("N"))), F.asc_nulls_last(F.nullif(F.col("l_linenumber"), F.lit(1))), F.asc_nulls_last("l_shipdate"), "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return table(spark, d, "lineitem").orderBy(*order).limit(50).select("l_orderkey", "l_partkey", "l_suppkey")
+    return table(spark, d, "lineitem").orderBy(*order).select("l_orderkey", "l_partkey", "l_suppkey")
 
 
 @query("SELECT o_orderkey, c_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 12")
@@ -235,14 +235,14 @@ def srt05_timeline_page(spark, d):
     return browse.page(rows, [F.year("o_orderdate").asc(), F.asc("o_orderkey")], 2).select("o_orderkey", "c_name")
 
 
-@query("SELECT url FROM pages ORDER BY url LIMIT 40")
+@query("SELECT url FROM pages ORDER BY url")
 def srt06_path_sort(spark, d):
-    return table(spark, d, "pages").select("url").orderBy("url").limit(40)
+    return table(spark, d, "pages").select("url").orderBy("url")
 
 
-@query("SELECT DISTINCT lower(p_name) AS name FROM part ORDER BY name LIMIT 15")
+@query("SELECT DISTINCT lower(p_name) AS name FROM part ORDER BY name")
 def srt07_locale_sort(spark, d):
-    return table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct().orderBy(F.collate("name", "UNICODE")).limit(15)
+    return table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct().orderBy(F.collate("name", "UNICODE"))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET (SELECT floor(0.37 * count(*))::BIGINT FROM orders)")
@@ -282,9 +282,9 @@ def src06_load(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT event_id FROM events ORDER BY ts, event_id LIMIT 100")
+@query("SELECT event_id FROM events ORDER BY ts, event_id")
 def src11_queue(spark, d):
-    return table(spark, d, "events").orderBy("ts", "event_id").limit(100).select("event_id")
+    return table(spark, d, "events").orderBy("ts", "event_id").select("event_id")
 
 
 @query("""SELECT 'region' AS "table", count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders""")

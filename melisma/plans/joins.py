@@ -173,13 +173,13 @@ def qry04_home_page(spark, d):
     return out.unionByName(part(f.where("quality = 1").orderBy("doc_id"), "favourites", "doc_id"))
 
 
-_NORM = "trim(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"""WITH a AS (SELECT doc_id, {_NORM} AS t FROM documents), b AS (SELECT {_NORM} AS t FROM benchmark)
 SELECT 'missing' AS side, count(*) AS n FROM b WHERE t NOT IN (SELECT t FROM a) UNION ALL SELECT 'extra', count(*) FROM a WHERE t NOT IN (SELECT t FROM b)""")
 def set02_missing_extra(spark, d):
-    title = strings.normalise_title(F.substring("text", 1, 40)).alias("t")
+    title = strings.normalise_title(F.col("text")).alias("t")
     a, b = table(spark, d, "documents").select(title), table(spark, d, "benchmark").select(title)
     n = lambda df, side: df.groupBy().agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
     return n(b.join(a, "t", "left_anti"), "missing").unionByName(n(a.join(b, "t", "left_anti"), "extra"))

@@ -19,7 +19,7 @@ def _messages(spark, d):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("join", "nowPlaying", "pause", "position", "resume", "leave")]), (F.col("turn") % 6 + 1).cast("int"))
     return table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("turn") == 0, "host").otherwise(F.concat(F.lit("p"), F.col("turn").cast("string"))).alias("peer_id"),
-        F.when(F.col("turn") == 0, "create").otherwise(kind).alias("type"), F.substring("text", 1, 10).alias("track"), F.col("turn").cast("double").alias("position"),
+        F.when(F.col("turn") == 0, "create").otherwise(kind).alias("type"), F.col("text").alias("track"), F.col("turn").cast("double").alias("position"),
     )
 
 

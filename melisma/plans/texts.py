@@ -16,9 +16,9 @@ def str01_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", strings.ascii_slug(F.concat("p_name", F.lit(" & "), "p_type", F.lit("!!"))).alias("slug"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 50)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def str02_unicode_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", strings.unicode_slug(F.substring("text", 1, 50)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", strings.unicode_slug(F.col("text")).alias("slug"))
 
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS title FROM documents")
@@ -31,9 +31,9 @@ def str04_artist_name(spark, d):
     return table(spark, d, "benchmark").select("item_id", strings.normalise_artist(F.col("text")).alias("name"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(substr(text, 1, 200), '\s/\s|,\s*'), lambda g: lower(trim(g, ' '))), lambda g: g <> ''), '|') AS tokens FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\s/\s|,\s*'), lambda g: lower(trim(g, ' '))), lambda g: g <> ''), '|') AS tokens FROM documents""")
 def str06_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(strings.genre_tokens(F.substring("text", 1, 200)), "|").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(strings.genre_tokens(F.col("text")), "|").alias("tokens"))
 
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'))::BIGINT AS n FROM documents")
@@ -150,25 +150,26 @@ def mth02_parse_int(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(maths.leading_int(strings.last_segment(F.col("url"))), F.lit(-1)).cast("long").alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(substr(text, 1, 300), ' ') AS ws FROM documents)
-SELECT doc_id, array_to_string(list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i), ' ') AS words FROM w""")
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)
+SELECT item_id, array_to_string(list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i), ' ') AS words FROM w""")
 def arr01_distinct(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(arrays.distinct_ignoring_case(F.split(F.substring("text", 1, 300), " ")), " ").alias("words"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(arrays.distinct_ignoring_case(F.split("text", " ")), " ").alias("words"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS a, list_transform(string_split(substr(text, 101, 200), ' '), lambda y: lower(y)) AS b FROM documents)
-SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, lower(x))))::BIGINT AS n FROM w""")
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS a, list_transform(string_split(p_type, ' '), lambda y: lower(y)) AS b FROM part)
+SELECT p_partkey, len(list_filter(a, lambda x: NOT list_contains(b, lower(x))))::BIGINT AS n FROM w""")
 def arr02_minus(spark, d):
-    t = F.col("text")
-    left = arrays.without_ignoring_case(F.split(F.substring(t, 1, 200), " "), F.split(F.substring(t, 101, 200), " "))
-    return table(spark, d, "documents").select("doc_id", F.size(left).cast("long").alias("n"))
+    left = arrays.without_ignoring_case(F.split("p_name", " "), F.split("p_type", " "))
+    return table(spark, d, "part").select("p_partkey", F.size(left).cast("long").alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(string_split(substr(text, 1, 200), ' ')) AS a, list_distinct(string_split(substr(text, 101, 200), ' ')) AS b FROM documents)
-SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM w""")
+@query("""WITH w AS (SELECT l.conv_id, l.turn, list_distinct(string_split(l.text, ' ')) AS a, list_distinct(string_split(r.text, ' ')) AS b FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2) l
+JOIN (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2) r ON l.conv_id = r.conv_id AND r.turn = l.turn + 1)
+SELECT conv_id, turn, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM w""")
 def arr03_jaccard(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.round(arrays.jaccard(F.split(F.substring(t, 1, 200), " "), F.split(F.substring(t, 101, 200), " ")), 6).alias("jaccard"))
+    t = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    return t.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(arrays.jaccard(F.split("text", " "), F.split("other", " ")), 6).alias("jaccard"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 6) AS mean FROM embeddings")

@@ -197,7 +197,7 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), ident(F.col(id_col), F.xxhash64(text)).alias("ident"))
     both = C.join_small(rows, each, "ident", salted=False)
     rebuilt = F.array_join(F.flatten(F.zip_with(F.split("text", PATTERN, -1), "news", lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
-    return both.select("doc_id", F.coalesce(F.size("news"), F.lit(0)).cast("long").alias("n_entities"), F.when(F.col("news").isNull(), F.col("text")).otherwise(rebuilt).alias("text"))
+    return both.select("doc_id", F.when(F.col("news").isNull(), 0).otherwise(F.size("news")).cast("long").alias("n_entities"), F.when(F.col("news").isNull(), F.col("text")).otherwise(rebuilt).alias("text"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("filters", "joins", "totals", "groups", "texts", "domain", "changes", "streams")
+_MODULES = ("filters", "joins", "totals", "groups", "texts", "domain", "changes", "streams", "more")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

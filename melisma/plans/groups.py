@@ -81,7 +81,7 @@ def win11_first_passing(spark, d):
 
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     hits = table(spark, d, "orders").select("o_custkey", "o_totalprice", rank.alias("rank"))
-    return hits.where("o_totalprice >= 100000").groupBy("o_custkey").agg(F.min("rank").alias("rank"))
+    return hits.where("o_totalprice >= 100000").groupBy("o_custkey").agg(F.min("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT c_custkey AS artist_id, CASE WHEN c_nationkey % 5 = 0 THEN c_custkey ELSE first_value(c_custkey) OVER (PARTITION BY CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_nationkey END ORDER BY c_name, c_custkey) END AS primary_id FROM customer""")

@@ -161,7 +161,7 @@ def exp07_configs(spark, d):
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("config"), F.lit(len(v)).alias("n")) for k, v in sizes])))
 
 
-@query("SELECT * FROM (VALUES (1, 2.0), (2, 4.0), (3, 8.0), (4, 10.0), (5, 8.5), (6, 7.225)) AS t(step, wait)")
+@query("SELECT step, wait::DOUBLE AS wait FROM (VALUES (1, 2.0), (2, 4.0), (3, 8.0), (4, 10.0), (5, 8.5), (6, 7.225)) AS t(step, wait)")
 def cdc03_pace(spark, d):
     p = changes.Pace()
     waits = [p.refused(), p.refused(), p.refused(), p.refused(), p.success(), p.success()]

@@ -55,23 +55,21 @@ def _let(value: Column, f) -> Column:
 
 def shingles(text: Column) -> Column:
     """Hashes of a text's shingles, in order; then those of its short lines."""
-    stream = _let(_words(text), lambda w: F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>")))
+    stream = _let(F.transform(_words(text), lambda w: F.xxhash64(w)), lambda w: F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>")))
     short = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(x) < 120)
     whole = F.transform(F.filter(F.transform(short, _words), lambda w: (F.size(w) > 0) & (F.size(w) < SHINGLE)), lambda w: F.xxhash64(F.array_join(w, " ")))
     return F.concat(stream, whole)
 
 
-def _get(p: Column, i: Column) -> Column:
-    return F.get(p, i)
-
-
 def band_values(hashes: Column, step: int, first: int, keep=None) -> Column:
     """The MinHash values of all windows of the array of hashes; first and step place the windows."""
 
     def one(k: int) -> Column:
         def mins(p: Column) -> Column:
             starts = F.sequence(F.lit(first), F.greatest(F.size(p) - 1, F.lit(first)), F.lit(step))
-            got = F.transform(starts, lambda i: F.least(*[F.when(i + j >= 0, _get(p, F.greatest(i + j, F.lit(0)))) for j in range(WINDOW)]))
+            # only windows that may start before the text need the bound
+            at = lambda i: F.get(p, i) if first >= 0 else F.when(i >= 0, F.get(p, F.greatest(i, F.lit(0))))
+            got = F.transform(starts, lambda i: F.least(*[at(i + j if j else i) for j in range(WINDOW)]))
             return F.filter(got, keep) if keep is not None else F.filter(got, lambda v: v.isNotNull())
 
         return _let(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(k))), mins)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -75,9 +77,23 @@ def release(*tables: DataFrame | None) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer held."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are no longer held; its cleaner works in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
+@contextlib.contextmanager
+def short_plans(spark: SparkSession, most: int = 20_000) -> Iterator[None]:
+    """Within, descriptions of plans are cut to so many characters: a table among the literals would fill the driver."""
+    key = "spark.sql.maxPlanStringLength"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, salted: bool = True) -> DataFrame:

@@ -6,11 +6,12 @@ sets with a Jaccard of at least PCT percent share a word within their prefixes i
 filters thin the candidates out, whose Jaccard is then verified on the whole sets. A line is removed if a line before it
 matches; that is, if its class began before it, or its class matches one that began earlier.
 
-Under a word that many classes have in their prefixes each class is first compared with the earliest one only. What that
-settles needs no further comparison, so a group of n variants of a line costs about n of them.
+Under a word that many classes have in their prefixes each class is first compared with the earliest one only, then with
+the earliest that is still open. What that settles needs no further comparison, so a group of n variants of a line costs
+about n of them.
 
 The order of words goes by counts in 2**SLOT_BITS slots of word hashes, a table of a fixed size; any order gives the same
-result. Words are known by 57-bit hashes, sets by 64-bit ones.
+result. Words are known by hashes of 51 bits, their length and rank, sets by 64-bit hashes.
 
 Edge cases: null and empty texts, and lines with fewer than MIN_WORDS distinct words, are left alone. Null ids come last
 in order. Rows with the same id and text count as one document, and get the same result. Other columns are ignored,
@@ -19,7 +20,7 @@ whatever their names; `dedup_lines` carries them along.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -27,6 +28,8 @@ from . import common as C
 PCT = 80
 MIN_WORDS = 5
 SLOT_BITS = 18
+#: Under a word that more classes have in their prefixes, so many of them are leaders, one after the other.
+MANY, LEADERS = 32, 3
 _HASH_BITS = 57
 _ZERO = 35  # the printable character of rank 0
 _LAST = (1 << 63) - 1
@@ -42,16 +45,25 @@ def _doc(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), _mark(text).alias("h"), text.alias("text"))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """doc, h, line, words (hashes, distinct): the lines with enough words."""
-    each = rows.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    hashed = F.array_distinct(F.transform(C.words(F.col("l")), lambda w: F.xxhash64(w)))
-    return each.select("doc", "h", "line", hashed.alias("words")).where(F.size("words") >= MIN_WORDS)
+def _once(value: Column) -> Column:
+    """A generator of one row: what it makes is worked out once, however often it is used above."""
+    return F.explode(F.array(value))
+
+
+def _hashes(line: Column) -> Column:
+    """A line's distinct words: a hash each, its last bits 63 less the word's length, so that long words come first."""
+    word = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR(F.greatest(F.lit(63) - F.length(w), F.lit(0)).cast("long"))
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, C.GAP), word), word(F.lit(""))))
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """doc, h, line, l: the lines that may have enough words."""
+    return rows.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "l")).where(F.length("l") >= 2 * MIN_WORDS - 1)
 
 
 def word_ranks(rows: DataFrame) -> bytes:
     """For each slot of word hashes one byte, the logarithm of its count: a table of 2**SLOT_BITS bytes for any corpus."""
-    words = rows.select(F.explode(F.transform(C.words(F.col("text")), lambda w: F.xxhash64(w))).alias("w"))
+    words = rows.select(F.explode(F.split("text", C.GAP)).alias("t")).select(F.xxhash64("t").alias("w"))
     counted = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
     full = rows.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot")).join(counted, "slot", "left")
     rank = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1.0) * 1.5), F.lit(63)).cast("int")
@@ -60,68 +72,99 @@ def word_ranks(rows: DataFrame) -> bytes:
 
 
 def _slot(w: Column) -> Column:
-    return w.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+    return F.shiftrightunsigned(w, 64 - SLOT_BITS).cast("int")
 
 
-def _keyed(lines: DataFrame, ranks: bytes) -> DataFrame:
-    """With keys: a line's words in the order of all words, rarest first."""
+def _keyed(lines: DataFrame, ranks: bytes, *more: str) -> DataFrame:
+    """With keys: a line's words in the order of all words, rarest first; among words of one rank the longest first."""
     table = F.lit(ranks)
     rank = lambda w: F.ascii(F.substring(table, _slot(w) + 1, 1).cast("string")) - _ZERO
-    key = lambda w: F.shiftleft(rank(w).cast("long"), _HASH_BITS).bitwiseOR(w.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
-    return lines.withColumn("keys", F.sort_array(F.transform("words", key))).drop("words")
+    low = F.lit((1 << _HASH_BITS) - 64)
+    key = lambda w: F.shiftleft(rank(w).cast("long"), _HASH_BITS).bitwiseOR(F.shiftleft(w.bitwiseAND(F.lit(63)), _HASH_BITS - 6)).bitwiseOR(F.shiftrightunsigned(w.bitwiseAND(low), 6))
+    some = lines.select("doc", "h", "line", *more, _once(_hashes(F.col("l"))).alias("words")).where(F.size("words") >= MIN_WORDS)
+    return some.select("doc", "h", "line", *more, _once(F.sort_array(F.transform("words", key))).alias("keys"))
 
 
-def _may_match(pct: int) -> Column:
-    n1, n2, p1, p2 = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
-    return (100 * F.least(n1, n2) >= pct * F.greatest(n1, n2)) & ((100 + pct) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= pct * (n1 + n2))
+def _bits(keys: Column, half: int) -> Column:
+    """Half of a sketch of 128 bits: one bit is set for each word."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda t, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * half, t.bitwiseOR(bit(k))).otherwise(t))
 
 
-def _order(a: str) -> Column:
-    return F.struct(f"{a}.doc", f"{a}.line", f"{a}.h")
+def _may_match(pct: int) -> Column:
+    """Length filter; positional filter at the first word that two prefixes share; and the words that only one line has,
+    of which each bit that differs shows one, are not too many."""
+    n1, n2, p1, p2 = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
+    apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
+    return (100 * F.least(n1, n2) >= pct * F.greatest(n1, n2)) & ((100 + pct) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= pct * (n1 + n2)) & ((100 + pct) * apart <= (100 - pct) * (n1 + n2))
 
 
 def classes(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int) -> DataFrame:
-    """sig, o (the first line: doc, line, h), n, prefix of each class of lines."""
-    keyed = _keyed(_lines(_doc(docs, id_col, text_col)), ranks).withColumn("n", F.size("keys"))
+    """sig, o (the first line: doc, line, h), n, low, high, prefix of each class of lines."""
+    keyed = _keyed(_split(_doc(docs, id_col, text_col)), ranks).withColumn("n", F.size("keys"))
     prefix = F.slice("keys", F.lit(1), F.col("n") - F.expr(f"cast((n * {pct} + 99) div 100 as int)") + 1)
-    return keyed.select(F.xxhash64("keys").alias("sig"), F.struct("doc", "line", "h").alias("o"), "n", prefix.alias("prefix")).groupBy("sig").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int) -> DataFrame:
-    """The pairs (later, earlier) whose sets reach the threshold. Only the lines at stake are read again."""
-    lines = C.cut(pairs.select(F.explode(F.array("later", "earlier")).alias("o")).distinct())
-    wanted = lines.select("o.doc", "o.h").distinct()
-    rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), C.cut(wanted.select(F.struct("doc", "h").alias("d"))), "d", "left_semi").dropDuplicates(["doc", "h"])
-    keyed = _keyed(_lines(rows.select("doc", "h", "text")), ranks).select(F.struct("doc", "line", "h").alias("o"), "keys")
-    sets = C.cut(C.join_small(keyed, lines, "o", "left_semi"))
-    both = pairs.join(sets.select(F.col("o").alias("later"), F.col("keys").alias("k1")), "later").join(sets.select(F.col("o").alias("earlier"), F.col("keys").alias("k2")), "earlier")
+    return keyed.select(F.xxhash64("keys").alias("sig"), F.struct("doc", "line", "h").alias("o"), "n", _bits(F.col("keys"), 0).alias("low"), _bits(F.col("keys"), 1).alias("high"), prefix.alias("prefix")).groupBy("sig").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int) -> DataFrame:
+    """later of the pairs (later, earlier) whose sets reach the threshold. Only the lines at stake are read again."""
+    named = pairs.select(F.explode(F.array("later", "earlier")).alias("cid")).distinct()
+    lines = C.cut(firsts.join(named, "cid"))
+    wanted = C.cut(lines.select(F.struct("o.doc", "o.h").alias("d")).distinct())
+    rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), wanted, "d", "left_semi", salted=False).dropDuplicates(["doc", "h"])
+    some = C.join_small(_split(rows).withColumn("o", F.struct("doc", "line", "h")), lines, "o", "inner", salted=False)
+    sets = C.cut(_keyed(some, ranks, "cid").select("cid", "keys"))
+    both = pairs.join(sets.select(F.col("cid").alias("later"), F.col("keys").alias("k1")), "later").join(sets.select(F.col("cid").alias("earlier"), F.col("keys").alias("k2")), "earlier")
     o = F.size(F.array_intersect("k1", "k2"))
     hits = C.cut(both.where(100 * o >= pct * (F.size("k1") + F.size("k2") - o)).select("later").distinct())
-    C.release(sets)
+    C.release(sets, wanted, lines)
     return hits
 
 
+def _numbered(groups: DataFrame) -> DataFrame:
+    """The classes in order of their first lines, numbered by it: cid rises with o."""
+    return groups.repartitionByRange("o").sortWithinPartitions("o").withColumn("cid", F.monotonically_increasing_id())
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT) -> DataFrame:
     """doc, h, line of the lines with enough words that stay."""
+    with C.short_plans(docs.sparkSession):
+        return _kept_lines(docs, id_col, text_col, pct)
+
+
+def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
+    spark = docs.sparkSession
     ranks = word_ranks(_doc(docs, id_col, text_col))
-    groups = C.cut(classes(docs, ranks, id_col, text_col, pct))
-    index = groups.select("o", "n", F.posexplode("prefix").alias("pos", "word")).select("word", "o.doc", "o.line", "o.h", "n", "pos").repartition("word")
-    held = index.groupBy("word").agg(F.count("*").alias("m"), F.min(F.struct("doc", "line", "h", "n", "pos")).alias("lead")).where("m > 1")
-    index = C.cut(index.join(held.hint("shuffle_hash"), "word"))
-    # each class against the earliest under the word
-    y = index.select("word", "doc", "line", "h", "n", "pos", F.col("lead.doc").alias("d0"), F.col("lead.line").alias("l0"), F.col("lead.h").alias("h0"), F.col("lead.n").alias("n0"), F.col("lead.pos").alias("p0"))
-    first = y.select(F.struct("doc", "line", "h").alias("later"), F.struct(F.col("d0").alias("doc"), F.col("l0").alias("line"), F.col("h0").alias("h")).alias("earlier"), F.struct("n", "pos").alias("x"), F.struct(F.col("n0").alias("n"), F.col("p0").alias("pos")).alias("y"))
-    first = C.cut(first.where((F.col("later") != F.col("earlier")) & _may_match(pct)).select("later", "earlier").distinct())
-    removed = _verified(first, docs, ranks, id_col, text_col, pct)
+    groups = C.cut(_numbered(classes(docs, ranks, id_col, text_col, pct).drop("sig")))
+    C.sweep(spark)
+    firsts = C.cut(groups.select("cid", "o"))
+    cols = ("n", "pos", "low", "high")
+    index = groups.select("cid", "n", "low", "high", F.posexplode("prefix").alias("pos", "word")).repartition("word")
+    by = Window.partitionBy("word")
+    lead = F.min(F.struct("cid", *cols)).over(by)
+    # the written table stays dealt out by word, so that joining it with itself moves nothing
+    index = C.cut_by_key(index.withColumn("m", F.count("*").over(by)).withColumn("lead", lead).where("m > 1"), "word")
+    C.release(groups)
+    pair = lambda rows: rows.select(F.col("cid").alias("later"), F.col("lead.cid").alias("earlier"), F.struct(*cols).alias("x"), F.struct(*[f"lead.{c}" for c in cols]).alias("y")).where((F.col("later") > F.col("earlier")) & _may_match(pct)).select("later", "earlier").distinct()
+    still_open = lambda rows: C.join_small(rows, removed.withColumnRenamed("later", "cid"), "cid", "left_anti", salted=False)
+    # each class against the earliest under the word; then, under frequent words, what is left against the next that is
+    done = C.cut(pair(index))
+    removed = _verified(done, firsts, docs, ranks, id_col, text_col, pct)
+    for place in range(2, LEADERS + 1):
+        rows = still_open(index.where(F.col("m") > MANY).select("word", "cid", *cols))
+        nth = F.nth_value(F.struct("cid", *cols), place).over(by.orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        pairs = C.cut(pair(rows.withColumn("lead", nth)).join(done, ["later", "earlier"], "left_anti"))
+        removed = C.cut(removed.unionByName(_verified(pairs, firsts, docs, ranks, id_col, text_col, pct)).distinct())
+        done = done.unionByName(pairs)
     # what is still open against all before it
-    left = index.select("word", "doc", "line", "h", "n", "pos", F.struct("doc", "line", "h").alias("o"))
-    open_ = C.join_small(left, removed.withColumnRenamed("later", "o"), "o", "left_anti").drop("o").alias("x")
-    y = index.select("word", "doc", "line", "h", "n", "pos").alias("y")
-    more = open_.join(y, (F.col("x.word") == F.col("y.word")) & (_order("y") < _order("x")) & _may_match(pct)).select(_order("x").alias("later"), _order("y").alias("earlier")).distinct()
-    more = C.cut(more.join(first, ["later", "earlier"], "left_anti"))
-    removed = removed.unionByName(_verified(more, docs, ranks, id_col, text_col, pct)).withColumnRenamed("later", "o")
-    kept = C.cut(C.join_small(groups.select("o"), C.cut(removed), "o", "left_anti").select("o.doc", "o.line", "o.h"))
-    C.release(index, groups, first, more)
+    y = index.select("word", "cid", *cols).alias("y")
+    x = still_open(index.select("word", "cid", *cols)).alias("x")
+    more = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.cid") < F.col("x.cid")) & _may_match(pct)).select(F.col("x.cid").alias("later"), F.col("y.cid").alias("earlier")).distinct()
+    more = C.cut(more.join(done, ["later", "earlier"], "left_anti"))
+    C.release(index)
+    removed = C.cut(removed.unionByName(_verified(more, firsts, docs, ranks, id_col, text_col, pct)).distinct().withColumnRenamed("later", "cid"))
+    kept = C.cut(C.join_small(firsts, removed, "cid", "left_anti", salted=False).select("o.doc", "o.line", "o.h"))
+    C.release(firsts, more)
     return kept
 
 

@@ -38,7 +38,8 @@ def corpus(seed):
     return [*rows, (300, None), (301, ""), (302, "\n\n"), (303, "long line of words " + "word " * 20000 + "\n" + "long line of words word"), (None, "null id has this line here")]
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "MANY", 4)
     for seed in (1, 2):
         rows = corpus(seed)
         table = docs(spark, rows, extra=True)

@@ -86,8 +86,19 @@ def score_texts(column: pa.Array, model: Model, dense: np.ndarray) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """One pass after the other over the rows; the bias is learned without L1."""
+def packed(x: np.ndarray) -> bytes:
+    """Sorted coordinates as differences, in two bytes each where they fit."""
+    step = np.diff(x, prepend=0)
+    wide = len(step) and step.max() > 0xFFFF
+    return (b"4" if wide else b"2") + step.astype("<u4" if wide else "<u2").tobytes()
+
+
+def unpacked(b: bytes | memoryview) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b[1:], "<u4" if b[:1] == b"4" else "<u2"), dtype=np.int64)
+
+
+def fit_ftrl(rows: list, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """One pass after the other over the rows (coordinates, or those packed); the bias is learned without L1."""
     base = float(labels.mean()) if len(labels) else 0.0
     none = np.zeros(0, np.int64)
     if not 0 < base < 1:
@@ -97,7 +108,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, s
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            x = rows[i]
+            x = rows[i] if isinstance(rows[i], np.ndarray) else unpacked(rows[i])
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) <= L1, 0.0, (np.sign(zx) * L1 - zx) / ((BETA + np.sqrt(nx)) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
@@ -127,10 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in feature_lists(b.column(2))], pa.binary())], names=["doc_id", "toxic", "x"])
-
-    got = joined.mapInArrow(features, "doc_id long, toxic int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    return fit_ftrl([np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()], got.column("toxic").to_numpy().astype(np.float64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(x) for x in feature_lists(b.column(2))], pa.binary())], names=["doc_id", "toxic", "x"])
+
+    got = joined.mapInArrow(features, "doc_id long, toxic int, x binary").toArrow()
+    y, ids = got.column("toxic").to_numpy().astype(np.float64), got.column("doc_id").to_pylist()
+    rows = [memoryview(v.as_buffer()) for v in got.column("x")]  # the table's own memory
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], len(rows[i]), bytes(rows[i][:64])))
+    model = fit_ftrl([rows[i] for i in order], y[order] if len(y) else y)
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -17,6 +17,11 @@ def test_features_by_hand():
     assert [len(x) for x in T.feature_lists(pa.array([None, "", "...", "a"], pa.string()))] == [0, 0, 0, 1]
 
 
+def test_packing_of_coordinates():
+    for x in ([], [0], [5, 6, 70000, 1048575], list(range(0, 1048576, 999))):
+        assert T.unpacked(memoryview(T.packed(np.array(x, np.int32)))).tolist() == x
+
+
 def test_held_out_accuracy_and_edges(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(300)]

@@ -13,7 +13,9 @@ about n of them.
 The order of words goes by counts in 2**SLOT_BITS slots of word hashes, a table of a fixed size; any order gives the same
 result. Words are known by hashes of 51 bits, their length and rank, sets by 64-bit hashes.
 
-Edge cases: null and empty texts, and lines with fewer than MIN_WORDS distinct words, are left alone. Null ids come last
+Edge cases: null and empty texts, and lines with fewer distinct words than `min_words` (MIN_WORDS unless given), are left
+alone; from 1 on every line with a word takes part, and one of less than five matches equal sets and, with four, sets of
+five around it. Null ids come last
 in order. Rows with the same id and text count as one document, and get the same result. Other columns are ignored,
 whatever their names; `dedup_lines` carries them along.
 """
@@ -56,9 +58,9 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.transform(F.split(line, C.GAP), word), word(F.lit(""))))
 
 
-def _split(rows: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, min_words: int) -> DataFrame:
     """doc, h, line, l: the lines that may have enough words."""
-    return rows.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "l")).where(F.length("l") >= 2 * MIN_WORDS - 1)
+    return rows.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "l")).where(F.length("l") >= 2 * min_words - 1)
 
 
 def word_ranks(rows: DataFrame) -> bytes:
@@ -75,13 +77,13 @@ def _slot(w: Column) -> Column:
     return F.shiftrightunsigned(w, 64 - SLOT_BITS).cast("int")
 
 
-def _keyed(lines: DataFrame, ranks: bytes, *more: str) -> DataFrame:
+def _keyed(lines: DataFrame, ranks: bytes, min_words: int, *more: str) -> DataFrame:
     """With keys: a line's words in the order of all words, rarest first; among words of one rank the longest first."""
     table = F.lit(ranks)
     rank = lambda w: F.ascii(F.substring(table, _slot(w) + 1, 1).cast("string")) - _ZERO
     low = F.lit((1 << _HASH_BITS) - 64)
     key = lambda w: F.shiftleft(rank(w).cast("long"), _HASH_BITS).bitwiseOR(F.shiftleft(w.bitwiseAND(F.lit(63)), _HASH_BITS - 6)).bitwiseOR(F.shiftrightunsigned(w.bitwiseAND(low), 6))
-    some = lines.select("doc", "h", "line", *more, _once(_hashes(F.col("l"))).alias("words")).where(F.size("words") >= MIN_WORDS)
+    some = lines.select("doc", "h", "line", *more, _once(_hashes(F.col("l"))).alias("words")).where(F.size("words") >= min_words)
     return some.select("doc", "h", "line", *more, _once(F.sort_array(F.transform("words", key))).alias("keys"))
 
 
@@ -99,21 +101,21 @@ def _may_match(pct: int) -> Column:
     return (100 * F.least(n1, n2) >= pct * F.greatest(n1, n2)) & ((100 + pct) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= pct * (n1 + n2)) & ((100 + pct) * apart <= (100 - pct) * (n1 + n2))
 
 
-def classes(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int) -> DataFrame:
+def classes(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int, min_words: int) -> DataFrame:
     """sig, o (the first line: doc, line, h), n, low, high, prefix of each class of lines."""
-    keyed = _keyed(_split(_doc(docs, id_col, text_col)), ranks).withColumn("n", F.size("keys"))
+    keyed = _keyed(_split(_doc(docs, id_col, text_col), min_words), ranks, min_words).withColumn("n", F.size("keys"))
     prefix = F.slice("keys", F.lit(1), F.col("n") - F.expr(f"cast((n * {pct} + 99) div 100 as int)") + 1)
     return keyed.select(F.xxhash64("keys").alias("sig"), F.struct("doc", "line", "h").alias("o"), "n", _bits(F.col("keys"), 0).alias("low"), _bits(F.col("keys"), 1).alias("high"), prefix.alias("prefix")).groupBy("sig").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int) -> DataFrame:
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int, min_words: int) -> DataFrame:
     """later of the pairs (later, earlier) whose sets reach the threshold. Only the lines at stake are read again."""
     named = pairs.select(F.explode(F.array("later", "earlier")).alias("cid")).distinct()
     lines = C.cut(firsts.join(named, "cid"))
     wanted = C.cut(lines.select(F.struct("o.doc", "o.h").alias("d")).distinct())
     rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), wanted, "d", "left_semi", salted=False).dropDuplicates(["doc", "h"])
-    some = C.join_small(_split(rows).withColumn("o", F.struct("doc", "line", "h")), lines, "o", "inner", salted=False)
-    sets = C.cut(_keyed(some, ranks, "cid").select("cid", "keys"))
+    some = C.join_small(_split(rows, min_words).withColumn("o", F.struct("doc", "line", "h")), lines, "o", "inner", salted=False)
+    sets = C.cut(_keyed(some, ranks, min_words, "cid").select("cid", "keys"))
     both = pairs.join(sets.select(F.col("cid").alias("later"), F.col("keys").alias("k1")), "later").join(sets.select(F.col("cid").alias("earlier"), F.col("keys").alias("k2")), "earlier")
     o = F.size(F.array_intersect("k1", "k2"))
     hits = C.cut(both.where(100 * o >= pct * (F.size("k1") + F.size("k2") - o)).select("later").distinct())
@@ -126,16 +128,16 @@ def _numbered(groups: DataFrame) -> DataFrame:
     return groups.repartitionByRange("o").sortWithinPartitions("o").withColumn("cid", F.monotonically_increasing_id())
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, h, line of the lines with enough words that stay."""
     with C.short_plans(docs.sparkSession):
-        return _kept_lines(docs, id_col, text_col, pct)
+        return _kept_lines(docs, id_col, text_col, pct, min_words)
 
 
-def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
+def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int, min_words: int) -> DataFrame:
     spark = docs.sparkSession
     ranks = word_ranks(_doc(docs, id_col, text_col))
-    groups = C.cut(_numbered(classes(docs, ranks, id_col, text_col, pct).drop("sig")))
+    groups = C.cut(_numbered(classes(docs, ranks, id_col, text_col, pct, min_words).drop("sig")))
     C.sweep(spark)
     firsts = C.cut(groups.select("cid", "o"))
     cols = ("n", "pos", "low", "high")
@@ -149,12 +151,12 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFr
     still_open = lambda rows: C.join_small(rows, removed.withColumnRenamed("later", "cid"), "cid", "left_anti", salted=False)
     # each class against the earliest under the word; then, under frequent words, what is left against the next that is
     done = C.cut(pair(index))
-    removed = _verified(done, firsts, docs, ranks, id_col, text_col, pct)
+    removed = _verified(done, firsts, docs, ranks, id_col, text_col, pct, min_words)
     for place in range(2, LEADERS + 1):
         rows = still_open(index.where(F.col("m") > MANY).select("word", "cid", *cols))
         nth = F.nth_value(F.struct("cid", *cols), place).over(by.orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         pairs = C.cut(pair(rows.withColumn("lead", nth)).join(done, ["later", "earlier"], "left_anti"))
-        removed = C.cut(removed.unionByName(_verified(pairs, firsts, docs, ranks, id_col, text_col, pct)).distinct())
+        removed = C.cut(removed.unionByName(_verified(pairs, firsts, docs, ranks, id_col, text_col, pct, min_words)).distinct())
         done = done.unionByName(pairs)
     # what is still open against all before it
     y = index.select("word", "cid", *cols).alias("y")
@@ -162,19 +164,19 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFr
     more = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.cid") < F.col("x.cid")) & _may_match(pct)).select(F.col("x.cid").alias("later"), F.col("y.cid").alias("earlier")).distinct()
     more = C.cut(more.join(done, ["later", "earlier"], "left_anti"))
     C.release(index)
-    removed = C.cut(removed.unionByName(_verified(more, firsts, docs, ranks, id_col, text_col, pct)).distinct().withColumnRenamed("later", "cid"))
+    removed = C.cut(removed.unionByName(_verified(more, firsts, docs, ranks, id_col, text_col, pct, min_words)).distinct().withColumnRenamed("later", "cid"))
     kept = C.cut(C.join_small(firsts, removed, "cid", "left_anti", salted=False).select("o.doc", "o.line", "o.h"))
     C.release(firsts, more)
     return kept
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with later matches taken out of their texts; a row whose words are all gone goes with them."""
-    kept = kept_lines(docs, id_col, text_col, pct).groupBy("doc", "h").agg(F.collect_list("line").alias("stay"))
+    kept = kept_lines(docs, id_col, text_col, pct, min_words).groupBy("doc", "h").agg(F.collect_list("line").alias("stay"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), _mark(F.col(text_col).cast("string")).alias("h"))
     text = F.col("row").getField(text_col)
-    few = lambda l: F.size(F.array_distinct(C.words(l))) < MIN_WORDS
+    few = lambda l: F.size(F.array_distinct(C.words(l))) < min_words
     lines = F.filter(F.split(text, "\n"), lambda l, i: few(l) | F.array_contains(F.coalesce("stay", F.array().cast("array<int>")), i))
     out = rows.join(kept, ["doc", "h"], "left").withColumn("new", F.array_join(lines, "\n"))
     out = out.where(text.isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]") | ~text.rlike(r"[^\x20\x09-\x0D]"))

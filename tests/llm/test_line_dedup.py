@@ -65,3 +65,9 @@ def test_repeated_rows_and_empty(spark):
     assert out.columns == table.columns
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, line), (1, line), (1, "other words in a row here")]
     assert L.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_short_lines_take_part_on_request(spark):
+    rows = [(1, "All rights reserved.\none two three four\nx"), (2, "kept text\nAll rights reserved.\nx " + "x " * 9999), (3, "reserved. All rights\none two three four five\nnew"), (4, "無空白的一行\n\n \n無空白的一行"), (5, "x")]
+    out = {r.doc_id: r.text for r in L.dedup_lines(docs(spark, rows), min_words=1).collect()}
+    assert out == {1: rows[0][1], 2: "kept text", 3: "new", 4: "無空白的一行\n\n "}

@@ -13,7 +13,9 @@ another's surrogate; who is refused draws again, so distinct entities stay disti
 list that shares no name with the known ones.
 
 Edge cases: null and empty texts pass unchanged; rows with the same id and text count as one document and get the same
-result; an empty table gives no rows. Other columns are ignored, whatever their names.
+result; an empty table gives no rows. Other columns are ignored, whatever their names. A secret's value has eight
+characters at least and runs on, however long, to a space or a quote; without a closing quote, the punctuation of a
+sentence at its end is not part of it.
 """
 
 from __future__ import annotations
@@ -49,16 +51,21 @@ _SYLLABLES = {
     "cyrillic": "бар вел гор дан жар зел кор лом мир нов пол ров сев тар ум фед хол чер шал юр".split(),
 }
 _SURNAME = r"(?:\p{IsLatin}{2,24}|\p{IsCyrillic}{2,24})"
+_EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,18}"
+_CARD = r"(?:[3-6]\d{3}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})"
+_QUOTE = r"\x22\x27\x60“”‘’"
+_SPACE = r"\p{Z}\x09-\x0D"
+_SECRET = rf"(?<=(?i:password|passwd|token|secret|api_key)\s{{0,2}}[=:]\s{{0,2}}[{_QUOTE}]?)(?=[^{_SPACE}{_QUOTE}]{{0,7}}[\p{{L}}\p{{N}}])(?:[^{_SPACE}{_QUOTE}]{{8,}}(?=[{_QUOTE}])|[^{_SPACE}{_QUOTE}]{{7,}}[^{_SPACE}{_QUOTE}.,;:?)\]}}>])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: One pattern finds every entity, from a place where no word is open.
 PATTERN = (
     r"(?<![\p{L}\p{N}_%+])(?:"
-    r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,18}"
+    rf"{_SECRET}"
+    rf"|{_EMAIL}"
     r"|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-    r"|(?<=(?i:password|passwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\x22']?)[A-Za-z0-9_\-]{8,128}"
     rf"|{_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
-    r"|[3-6]\d{3}(?:[ -]?\d{4}){3}(?!\d)"
+    rf"|{_CARD}(?!\d)"
     r"|\d{3}-\d{2}-\d{4}(?!\d)"
     r"|(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
@@ -74,8 +81,8 @@ def _digits(raw: Column) -> Column:
 
 
 def kind(raw: Column) -> Column:
-    out = F.when(F.contains(raw, F.lit("@")), "email").when(raw.rlike(r"^AKIA[0-9A-Z]{16}$"), "key").when(raw.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
-    out = out.when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(raw.rlike(r"^[3-6]\d{3}([ -]?\d{4}){3}$"), "card").when(raw.rlike(r"^[+(\d][\d .()-]+$") & (raw.rlike(r"[ .()-]") | raw.startswith("+")), "phone")
+    out = F.when(raw.rlike(rf"^{_EMAIL}$"), "email").when(raw.rlike(r"^AKIA[0-9A-Z]{16}$"), "key").when(raw.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
+    out = out.when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(raw.rlike(rf"^{_CARD}$"), "card").when(raw.rlike(r"^[+(\d][\d .()-]+$") & (raw.rlike(r"[ .()-]") | raw.startswith("+")), "phone")
     for k, names in GIVEN.items():
         out = out.when(raw.isin(names), k)
     out = out.when(raw.rlike(r"^\p{Lu}\p{IsCyrillic}*(?:ова|ева|ина|ая)$"), "surname_f_cyrillic").when(raw.rlike(r"^(?=\p{Lu})\p{IsCyrillic}+$"), "surname_m_cyrillic")
@@ -109,6 +116,12 @@ def _like(text: Column, hexes: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _hidden(text: Column, hexes: Column) -> Column:
+    """As _like, for secrets: letters of other scripts become small ones; so do all marks where there is little else."""
+    few = F.length(F.regexp_replace(text, r"[^0-9A-Za-z]", "")) < 8
+    return _like(F.when(few, F.regexp_replace(text, r"[^0-9A-Za-z]", "z")).otherwise(F.regexp_replace(text, r"[^\x21-\x7E]", "z")), hexes)
+
+
 def _luhn(digits: Column, odd: int) -> Column:
     """The Luhn sum; odd: whether the last digit is doubled."""
     n = lambda c, i: c.cast("int") * F.when((i + odd) % 2 == 1, 2).otherwise(1)
@@ -128,14 +141,16 @@ def candidate(what: Column, canon: Column, draw: Column, key: str) -> Column:
         email = F.concat(_like(F.substring_index(canon, "@", 1), h), F.lit("@"), _let(sha(F.lit("domain"), domain), lambda d: _like(host, d)), F.lit("."), F.substring_index(domain, ".", -1))
         first = (_number(h, at(50), 8) + 2).cast("string")
         phone = F.when(F.length(canon) == 10, F.concat(first, F.substring(like, 2, 2), (_number(h, at(51), 8) + 2).cast("string"), F.substring(like, 5, 6))).otherwise(F.concat(F.substring(canon, 1, 2), like.substr(F.lit(3), F.length(canon))))
-        body = F.concat(F.substring(canon, 1, 1), F.substring(like, 2, 14))
-        card = F.when(_luhn(canon, 0) % 10 == 0, F.concat(body, _let(body, lambda b: ((10 - _luhn(b, 1) % 10) % 10).cast("string")))).otherwise(F.concat(body, F.substring(like, 16, 1)))
+        n = F.length(canon)
+        lead = F.when(n == 15, 2).otherwise(1)  # the issuer of cards of 15 digits shows in two
+        body = F.concat(canon.substr(F.lit(1), lead), like.substr(lead + 1, n - lead - 1))
+        card = F.when(_luhn(canon, 0) % 10 == 0, F.concat(body, _let(body, lambda b: ((10 - _luhn(b, 1) % 10) % 10).cast("string")))).otherwise(F.concat(body, like.substr(n, F.lit(1))))
         ip = F.concat_ws(".", (_number(h, at(0), 200) + 11).cast("string"), *[_number(h, at(i), 254).cast("string") for i in (1, 2)], (_number(h, at(3), 253) + 1).cast("string"))
         ssn = F.concat((_number(h, at(50), 8) + 1).cast("string"), F.substring(like, 2, 8))
         names = lambda script, end: F.concat(F.initcap(F.element_at(F.array(*map(F.lit, _SYLLABLES[script])), _number(h, at(10), 20) + 1)), *[F.element_at(F.array(*map(F.lit, _SYLLABLES[script])), _number(h, at(i), 20) + 1) for i in (11, 12, 13)], F.lit(end))
         out = F.when(what == "email", email).when(what == "phone", phone).when(what == "card", card).when(what == "ip", ip).when(what == "ssn", ssn)
         out = out.when(what == "key", F.concat(F.lit("AKIA"), F.substring(like, 5, 16)))
-        return out.when(what == "surname_latin", names("latin", "")).when(what == "surname_f_cyrillic", names("cyrillic", "ова")).when(what == "surname_m_cyrillic", names("cyrillic", "ов")).otherwise(like)
+        return out.when(what == "surname_latin", names("latin", "")).when(what == "surname_f_cyrillic", names("cyrillic", "ова")).when(what == "surname_m_cyrillic", names("cyrillic", "ов")).otherwise(_hidden(canon, h))
 
     return _let(sha(what, canon, draw.cast("string")), by)
 

@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row(df: DataFrame) -> Column:
+    """All columns as one struct: nothing that is added beside it can clash with their names."""
+    return F.struct(*[col(c) for c in df.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -85,15 +95,21 @@ def sweep(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def short_plans(spark: SparkSession, most: int = 20_000) -> Iterator[None]:
-    """Within, descriptions of plans are cut to so many characters: a table among the literals would fill the driver."""
-    key = "spark.sql.maxPlanStringLength"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Within, the session has these settings; what it had comes back."""
+    was = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def short_plans(spark: SparkSession, most: int = 20_000):
+    """Within, descriptions of plans are cut to so many characters: a table among the literals would fill the driver."""
+    return settings(spark, {"spark.sql.maxPlanStringLength": most})
 
 
 def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, salted: bool = True) -> DataFrame:

@@ -3,202 +3,229 @@
 A line is the set of its words. Lines with equal sets form one class, known by its first line in order of document id
 and line number; a class is joined to others on its rarest words: all words are ordered by how often they occur, and two
 sets with a Jaccard of at least PCT percent share a word within their prefixes in that order. Positional and length
-filters thin the candidates out, whose Jaccard is then verified on the whole sets. A line is removed if a line before it
-matches; that is, if its class began before it, or its class matches one that began earlier.
-
-Under a word that many classes have in their prefixes each class is first compared with the earliest one only, then with
-the earliest that is still open. What that settles needs no further comparison, so a group of n variants of a line costs
-about n of them.
-
-The order of words goes by counts in 2**SLOT_BITS slots of word hashes, a table of a fixed size; any order gives the same
-result. Words are known by hashes of 51 bits, their length and rank, sets by 64-bit hashes.
-
-Edge cases: null and empty texts, and lines with fewer distinct words than `min_words` (MIN_WORDS unless given), are left
-alone; from 1 on every line with a word takes part, and one of less than five matches equal sets and, with four, sets of
-five around it. Null ids come last
-in order. Rows with the same id and text count as one document, and get the same result. Other columns are ignored,
-whatever their names; `dedup_lines` carries them along.
+filters thin the candidates out, and so do sketches of the sets; the Jaccard of the rest is verified on the whole sets. A
+line is removed if a line before it matches; that is, if its class began before it, or its class matches one that began
+earlier.
+
+Classes meet under each word of their prefixes. Under a word that more than MANY have there, each is first compared with
+two of them only, the earliest and the one with most lines, and verified against the nearer; what that settles needs no
+further comparison, so a group of n variants of a line costs about n of them. What is still open then meets all that
+began earlier, dealt out by word and length.
+
+The order of words goes by their counts over all documents in 2**SLOT_BITS slots of word hashes, a table of a fixed size;
+any order gives the same result. Words are known by hashes of 57 bits, sets by 64-bit hashes.
+
+Edge cases: null and empty texts and blank lines are left alone. A line of three words or fewer matches equal sets only,
+one of four also sets of five around it. Null ids come last in order (an id of 2**63 - 1 shares their place). Rows with
+the same id and text count as one document, and get the same result. Other columns are ignored, whatever their names;
+`dedup_lines` carries them along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 PCT = 80
-MIN_WORDS = 5
-SLOT_BITS = 18
-#: Under a word that more classes have in their prefixes, so many of them are leaders, one after the other.
-MANY, LEADERS = 32, 3
+SLOT_BITS = 16
+#: Under a word that more classes have in their prefixes, they are compared with two of them first.
+MANY = 256
+#: Documents whose lists of lines a task gathers by hashing; beyond, it sorts.
+HELD = 20_000
 _HASH_BITS = 57
-_ZERO = 35  # the printable character of rank 0
 _LAST = (1 << 63) - 1
 
 
-def _mark(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int")
+def _mark(docs_id: Column, text: Column) -> Column:
+    return F.xxhash64(text, docs_id.isNull())
 
 
 def _doc(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, h: which document a row is; text."""
-    text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), _mark(text).alias("h"), text.alias("text"))
+    key, text = C.col(id_col).cast("long"), C.col(text_col).cast("string")
+    return docs.select(F.coalesce(key, F.lit(_LAST)).alias("doc"), _mark(key, text).alias("h"), text.alias("text"))
+
 
+def _tokens(text: Column, *more: str) -> Column:
+    """A text cut at single gaps, in a way that needs no regular expression; empty strings stay between double gaps."""
+    for gap in ("\t", "\x0b", "\x0c", "\r", *more):
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.split(text, " ")
 
-def _once(value: Column) -> Column:
-    """A generator of one row: what it makes is worked out once, however often it is used above."""
-    return F.explode(F.array(value))
 
+def _word_set(line: Column) -> Column:
+    """The hashes of a line's distinct words."""
+    return F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
-def _hashes(line: Column) -> Column:
-    """A line's distinct words: a hash each, its last bits 63 less the word's length, so that long words come first."""
-    word = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR(F.greatest(F.lit(63) - F.length(w), F.lit(0)).cast("long"))
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, C.GAP), word), word(F.lit(""))))
+
+def _slot(w: Column) -> Column:
+    return F.shiftrightunsigned(w, 64 - SLOT_BITS).cast("int")
 
 
-def _split(rows: DataFrame, min_words: int) -> DataFrame:
-    """doc, h, line, l: the lines that may have enough words."""
-    return rows.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "l")).where(F.length("l") >= 2 * min_words - 1)
+def _rank(n: int) -> int:
+    """The rank of a word that occurs n times."""
+    return min(int(math.log2(n + 1) * 1.5), 63)
 
 
 def word_ranks(rows: DataFrame) -> bytes:
     """For each slot of word hashes one byte, the logarithm of its count: a table of 2**SLOT_BITS bytes for any corpus."""
-    words = rows.select(F.explode(F.split("text", C.GAP)).alias("t")).select(F.xxhash64("t").alias("w"))
-    counted = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
-    full = rows.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot")).join(counted, "slot", "left")
-    rank = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1.0) * 1.5), F.lit(63)).cast("int")
-    ordered = F.array_sort(F.collect_list(F.struct("slot", rank.alias("r"))))
-    return full.groupBy().agg(F.array_join(F.transform(ordered, lambda x: F.char(x["r"] + _ZERO)), "").alias("t")).first().t.encode()
+    words = rows.select(F.explode(_tokens(F.col("text"), "\n")).alias("t")).select(_slot(F.xxhash64("t")).alias("slot"))
+    table = bytearray(1 << SLOT_BITS)
+    for part in words.groupBy("slot").count().groupBy((F.col("slot") % 64).alias("p")).agg(F.collect_list("slot").alias("slots"), F.collect_list("count").alias("counts")).toLocalIterator():
+        for slot, n in zip(part.slots, part.counts, strict=True):
+            table[slot] = _rank(n)
+    return bytes(table)
 
 
-def _slot(w: Column) -> Column:
-    return F.shiftrightunsigned(w, 64 - SLOT_BITS).cast("int")
+def _lines(rows: DataFrame) -> DataFrame:
+    """doc, h, line, l: the lines of all texts."""
+    return rows.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "l"))
 
 
-def _keyed(lines: DataFrame, ranks: bytes, min_words: int, *more: str) -> DataFrame:
-    """With keys: a line's words in the order of all words, rarest first; among words of one rank the longest first."""
+def _keyed(lines: DataFrame, ranks: bytes) -> DataFrame:
+    """With keys: a line's words in the order of all words, rarest first."""
     table = F.lit(ranks)
-    rank = lambda w: F.ascii(F.substring(table, _slot(w) + 1, 1).cast("string")) - _ZERO
-    low = F.lit((1 << _HASH_BITS) - 64)
-    key = lambda w: F.shiftleft(rank(w).cast("long"), _HASH_BITS).bitwiseOR(F.shiftleft(w.bitwiseAND(F.lit(63)), _HASH_BITS - 6)).bitwiseOR(F.shiftrightunsigned(w.bitwiseAND(low), 6))
-    some = lines.select("doc", "h", "line", *more, _once(_hashes(F.col("l"))).alias("words")).where(F.size("words") >= min_words)
-    return some.select("doc", "h", "line", *more, _once(F.sort_array(F.transform("words", key))).alias("keys"))
+    rank = lambda w: F.ascii(F.substring(table, _slot(w) + 1, 1).cast("string"))
+    key = lambda w: F.shiftleft(rank(w).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - _HASH_BITS))
+    return lines.select("doc", "h", "line", F.sort_array(F.transform(_word_set(F.col("l")), key)).alias("keys"))
 
 
-def _bits(keys: Column, half: int) -> Column:
-    """Half of a sketch of 128 bits: one bit is set for each word."""
+def _odd(keys: Column, half: int) -> Column:
+    """Half of a sketch of 128 bits: a bit is set where an odd number of words fall on it."""
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda t, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * half, t.bitwiseOR(bit(k))).otherwise(t))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda t, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * half, t.bitwiseXOR(bit(k))).otherwise(t))
 
 
-def _may_match(pct: int) -> Column:
-    """Length filter; positional filter at the first word that two prefixes share; and the words that only one line has,
-    of which each bit that differs shows one, are not too many."""
-    n1, n2, p1, p2 = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
-    apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
-    return (100 * F.least(n1, n2) >= pct * F.greatest(n1, n2)) & ((100 + pct) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= pct * (n1 + n2)) & ((100 + pct) * apart <= (100 - pct) * (n1 + n2))
-
-
-def classes(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int, min_words: int) -> DataFrame:
-    """sig, o (the first line: doc, line, h), n, low, high, prefix of each class of lines."""
-    keyed = _keyed(_split(_doc(docs, id_col, text_col), min_words), ranks, min_words).withColumn("n", F.size("keys"))
-    prefix = F.slice("keys", F.lit(1), F.col("n") - F.expr(f"cast((n * {pct} + 99) div 100 as int)") + 1)
-    return keyed.select(F.xxhash64("keys").alias("sig"), F.struct("doc", "line", "h").alias("o"), "n", _bits(F.col("keys"), 0).alias("low"), _bits(F.col("keys"), 1).alias("high"), prefix.alias("prefix")).groupBy("sig").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
+def _apart() -> Column:
+    """Words that only one line has, at least: each bit that differs shows one."""
+    return F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int, min_words: int) -> DataFrame:
-    """later of the pairs (later, earlier) whose sets reach the threshold. Only the lines at stake are read again."""
-    named = pairs.select(F.explode(F.array("later", "earlier")).alias("cid")).distinct()
-    lines = C.cut(firsts.join(named, "cid"))
+def _may_match(pct: int) -> Column:
+    """Length filter; positional filter at the first word that two prefixes share; and the sketches."""
+    at = lambda t: (F.shiftright(F.col(f"{t}.np"), 32), F.col(f"{t}.np").bitwiseAND(F.lit((1 << 32) - 1)))
+    (n1, p1), (n2, p2) = at("x"), at("y")
+    return (100 * F.least(n1, n2) >= pct * F.greatest(n1, n2)) & ((100 + pct) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= pct * (n1 + n2)) & ((100 + pct) * _apart() <= (100 - pct) * (n1 + n2))
+
+
+def classes(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int) -> DataFrame:
+    """cid, o (the first line: doc, line, h), m (lines), n, low, high, prefix of each class of lines. Sets too small to
+    match any but an equal one have no prefix."""
+    keyed = _keyed(_lines(_doc(docs, id_col, text_col)), ranks)
+    n = F.size("keys")
+    p = F.when(100 * n >= pct * (n + 1), n - F.floor((n * pct + 99) / 100).cast("int") + 1).otherwise(0)
+    prefix = F.slice("keys", F.lit(1), p)
+    rows = keyed.select(F.xxhash64("keys").alias("sig"), F.struct("doc", "line", "h").alias("o"), n.alias("n"), _odd(F.col("keys"), 0).alias("low"), _odd(F.col("keys"), 1).alias("high"), prefix.alias("prefix"))
+    out = rows.groupBy("sig").agg(F.min("o").alias("o"), F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
+    return out.drop("sig").where("n > 0").withColumn("cid", F.monotonically_increasing_id())
+
+
+def _verified(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
+    """cid of the later of those pairs (a, b) whose sets reach the threshold. Only the lines at stake are read again."""
+    named = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    lines = C.cut(C.join_small(groups.select("cid", "o"), named, "cid", "inner", salted=False))
     wanted = C.cut(lines.select(F.struct("o.doc", "o.h").alias("d")).distinct())
-    rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), wanted, "d", "left_semi", salted=False).dropDuplicates(["doc", "h"])
-    some = C.join_small(_split(rows, min_words).withColumn("o", F.struct("doc", "line", "h")), lines, "o", "inner", salted=False)
-    sets = C.cut(_keyed(some, ranks, min_words, "cid").select("cid", "keys"))
-    both = pairs.join(sets.select(F.col("cid").alias("later"), F.col("keys").alias("k1")), "later").join(sets.select(F.col("cid").alias("earlier"), F.col("keys").alias("k2")), "earlier")
-    o = F.size(F.array_intersect("k1", "k2"))
-    hits = C.cut(both.where(100 * o >= pct * (F.size("k1") + F.size("k2") - o)).select("later").distinct())
-    C.release(sets, wanted, lines)
+    rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), wanted, "d", "left_semi", salted=False)
+    some = C.join_small(_lines(rows).withColumn("o", F.struct("doc", "line", "h")), lines, "o", "inner", salted=False)
+    sets = C.cut(some.select("cid", "o", _word_set(F.col("l")).alias("words")).dropDuplicates(["cid"]))
+    side = lambda c, i: sets.select(F.col("cid").alias(c), F.col("o").alias(f"o{i}"), F.col("words").alias(f"w{i}"))
+    both = C.join_small(C.join_small(pairs, side("a", 1), "a", "inner"), side("b", 2), "b", "inner")
+    shared = F.size(F.array_intersect("w1", "w2"))
+    both = both.select(F.when(F.col("o1") > F.col("o2"), F.col("a")).otherwise(F.col("b")).alias("cid"), shared.alias("s"), (F.size("w1") + F.size("w2")).alias("z"))
+    hits = C.cut(both.where(100 * F.col("s") >= pct * (F.col("z") - F.col("s"))).select("cid").distinct())
+    C.release(named, sets, wanted, lines)
     return hits
 
 
-def _numbered(groups: DataFrame) -> DataFrame:
-    """The classes in order of their first lines, numbered by it: cid rises with o."""
-    return groups.repartitionByRange("o").sortWithinPartitions("o").withColumn("cid", F.monotonically_increasing_id())
-
-
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, h, line of the lines with enough words that stay."""
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT) -> DataFrame:
+    """doc, h, line of the lines with a word that stay."""
     with C.short_plans(docs.sparkSession):
-        return _kept_lines(docs, id_col, text_col, pct, min_words)
+        return _kept_lines(docs, id_col, text_col, pct)
 
 
-def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int, min_words: int) -> DataFrame:
-    spark = docs.sparkSession
+def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
     ranks = word_ranks(_doc(docs, id_col, text_col))
-    groups = C.cut(_numbered(classes(docs, ranks, id_col, text_col, pct, min_words).drop("sig")))
-    C.sweep(spark)
-    firsts = C.cut(groups.select("cid", "o"))
-    cols = ("n", "pos", "low", "high")
-    index = groups.select("cid", "n", "low", "high", F.posexplode("prefix").alias("pos", "word")).repartition("word")
-    by = Window.partitionBy("word")
-    lead = F.min(F.struct("cid", *cols)).over(by)
-    # the written table stays dealt out by word, so that joining it with itself moves nothing
-    index = C.cut_by_key(index.withColumn("m", F.count("*").over(by)).withColumn("lead", lead).where("m > 1"), "word")
-    C.release(groups)
-    pair = lambda rows: rows.select(F.col("cid").alias("later"), F.col("lead.cid").alias("earlier"), F.struct(*cols).alias("x"), F.struct(*[f"lead.{c}" for c in cols]).alias("y")).where((F.col("later") > F.col("earlier")) & _may_match(pct)).select("later", "earlier").distinct()
-    still_open = lambda rows: C.join_small(rows, removed.withColumnRenamed("later", "cid"), "cid", "left_anti", salted=False)
-    # each class against the earliest under the word; then, under frequent words, what is left against the next that is
-    done = C.cut(pair(index))
-    removed = _verified(done, firsts, docs, ranks, id_col, text_col, pct, min_words)
-    for place in range(2, LEADERS + 1):
-        rows = still_open(index.where(F.col("m") > MANY).select("word", "cid", *cols))
-        nth = F.nth_value(F.struct("cid", *cols), place).over(by.orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        pairs = C.cut(pair(rows.withColumn("lead", nth)).join(done, ["later", "earlier"], "left_anti"))
-        removed = C.cut(removed.unionByName(_verified(pairs, firsts, docs, ranks, id_col, text_col, pct, min_words)).distinct())
-        done = done.unionByName(pairs)
-    # what is still open against all before it
-    y = index.select("word", "cid", *cols).alias("y")
-    x = still_open(index.select("word", "cid", *cols)).alias("x")
-    more = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.cid") < F.col("x.cid")) & _may_match(pct)).select(F.col("x.cid").alias("later"), F.col("y.cid").alias("earlier")).distinct()
-    more = C.cut(more.join(done, ["later", "earlier"], "left_anti"))
-    C.release(index)
-    removed = C.cut(removed.unionByName(_verified(more, firsts, docs, ranks, id_col, text_col, pct, min_words)).distinct().withColumnRenamed("later", "cid"))
-    kept = C.cut(C.join_small(firsts, removed, "cid", "left_anti", salted=False).select("o.doc", "o.line", "o.h"))
-    C.release(firsts, more)
+    groups = C.cut(classes(docs, ranks, id_col, text_col, pct))
+    posts = groups.where(F.size("prefix") > 0).select("cid", "o", "m", "n", "low", "high", F.posexplode("prefix").alias("pos", "word"))
+    posts = posts.withColumn("np", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))).drop("pos")
+    # a word's rank bounds its count
+    seen = posts.where(F.shiftrightunsigned("word", _HASH_BITS) >= _rank(MANY))
+    hot = C.cut(seen.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > MANY).select("word"))
+    # words of few classes: all pairs under them
+    cold = C.join_small(posts, hot, "word", "left_anti", salted=False).select("word", "cid", "np", "low", "high")
+    pairs = cold.alias("x").join(cold.alias("y"), F.expr("x.word = y.word and x.cid > y.cid") & _may_match(pct)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    # words of many: each class and the nearer of two leaders that began earlier
+    shared = C.cut(C.join_small(posts, hot, "word", "left_semi", salted=False))
+    lead = F.explode(F.array(F.col("first"), F.struct(*[F.col(f"large.{c}") for c in ("o", "cid", "np", "low", "high")]))).alias("y")
+    leads = shared.groupBy("word").agg(F.min(F.struct("o", "cid", "np", "low", "high")).alias("first"), F.max(F.struct("m", "o", "cid", "np", "low", "high")).alias("large"))
+    leads = C.cut(leads.select("word", lead).distinct())
+    met = C.join_small(shared.select("word", "cid", F.struct("o", "np", "low", "high").alias("x")), leads, "word", "inner")
+    met = met.where((F.col("y.o") < F.col("x.o")) & _may_match(pct))
+    near = met.groupBy("cid").agg(F.min(F.struct(_apart().alias("apart"), F.col("y.cid").alias("b"))).alias("t")).select(F.col("cid").alias("a"), F.col("t.b").alias("b"))
+    done = C.cut(pairs.unionByName(near).distinct())
+    removed = _verified(done, groups, docs, id_col, text_col, pct)
+    # what is still open against all that began earlier; lengths that can match lie in the same band or the next
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / pct))).cast("int")
+    y = shared.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
+    x = C.join_small(shared, removed, "cid", "left_anti", salted=False).withColumn("band", band).alias("x")
+    more = x.join(y, F.expr("x.word = y.word and x.band = y.band and y.o < x.o") & _may_match(pct)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    more = C.cut(more.join(done, ["a", "b"], "left_anti"))
+    C.release(shared, leads, hot, done)
+    removed = C.cut(removed.unionByName(_verified(more, groups, docs, id_col, text_col, pct)).distinct())
+    kept = C.cut(C.join_small(groups.select("cid", "o"), removed, "cid", "left_anti", salted=False).select("o.doc", "o.line", "o.h"))
+    C.release(groups, more, removed)
     return kept
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT, min_words: int = MIN_WORDS) -> DataFrame:
+def _stay(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
+    """doc, h, stay: the numbers of the lines that stay, a row a document."""
+    kept = kept_lines(docs, id_col, text_col, pct)
+    with C.settings(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": HELD}):
+        return C.cut(kept.repartition("doc", "h").groupBy("doc", "h").agg(F.collect_list("line").alias("stay")))
+
+
+def _where(lines: Column, test) -> Column:
+    """The numbers of the lines that pass."""
+    return F.filter(F.transform(lines, lambda l, i: F.when(test(l), i)), lambda i: i.isNotNull())
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT) -> DataFrame:
     """The rows of docs with later matches taken out of their texts; a row whose words are all gone goes with them."""
-    kept = kept_lines(docs, id_col, text_col, pct, min_words).groupBy("doc", "h").agg(F.collect_list("line").alias("stay"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), _mark(F.col(text_col).cast("string")).alias("h"))
-    text = F.col("row").getField(text_col)
-    few = lambda l: F.size(F.array_distinct(C.words(l))) < min_words
-    lines = F.filter(F.split(text, "\n"), lambda l, i: few(l) | F.array_contains(F.coalesce("stay", F.array().cast("array<int>")), i))
-    out = rows.join(kept, ["doc", "h"], "left").withColumn("new", F.array_join(lines, "\n"))
-    out = out.where(text.isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]") | ~text.rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("new").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = _stay(docs, id_col, text_col, pct)
+    key, text = C.col(id_col).cast("long"), C.col(text_col).cast("string")
+    rows = docs.select(C.row(docs).alias("row"), F.coalesce(key, F.lit(_LAST)).alias("doc"), _mark(key, text).alias("h"))
+    text = F.col("row").getField(text_col).cast("string")
+    rows = rows.join(kept, ["doc", "h"], "left").withColumn("lines", F.split(text, "\n"))
+    blank = _where(F.col("lines"), lambda l: ~l.rlike(C.WORD))
+    stay = F.sort_array(F.array_union(F.coalesce("stay", F.array().cast("array<int>")), blank))
+    # null: the text is as it was; a text with words of which no line stays goes
+    same = F.col("lines").isNull() | (F.size(stay) == F.size("lines"))
+    out = rows.where(F.col("lines").isNull() | F.col("stay").isNotNull() | ~text.rlike(C.WORD))
+    new = F.when(~same, F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")).otherwise(text)
+    return out.select(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines (with enough words), n_removed, removed_lines (from 0)."""
+    """doc_id, n_lines (with a word), n_removed, removed_lines (from 0)."""
     docs = C.table(spark, sf_dir, "documents")
-    kept = kept_lines(docs).groupBy("doc", "h").agg(F.collect_list("line").alias("stay"))
-    text = F.col("text").cast("string")
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda l, i: F.when(F.size(F.array_distinct(C.words(l))) >= MIN_WORDS, i)), lambda i: i.isNotNull())
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), _mark(text).alias("h"), F.coalesce(lines, F.array().cast("array<int>")).alias("lines"))
-    gone = F.array_except("lines", F.coalesce("stay", F.array().cast("array<int>")))
-    return rows.join(kept, ["doc", "h"], "left").select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    none = F.array().cast("array<int>")
+    lines = F.coalesce(_where(F.split(text, "\n"), lambda l: l.rlike(C.WORD)), none)
+    rows = docs.select("doc_id", F.coalesce(key, F.lit(_LAST)).alias("doc"), _mark(key, text).alias("h"), lines.alias("lines"))
+    gone = F.array_except("lines", F.coalesce("stay", none))
+    rows = rows.join(_stay(docs, "doc_id", "text", PCT), ["doc", "h"], "left")
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
 
 
 SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line, list_sort(list_distinct(list_filter(string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
-e AS (SELECT * FROM l WHERE len(ws) >= 5),
+e AS (SELECT * FROM l WHERE len(ws) >= 1),
 c AS (SELECT ws, min(doc_id * 1000000 + line) AS o, row_number() OVER () AS c FROM e GROUP BY ws),
 t AS (SELECT c, o, len(ws) AS n, unnest(ws) AS w FROM c),
 f AS (SELECT w, count(*) AS df FROM t GROUP BY w),

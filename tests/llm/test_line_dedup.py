@@ -8,7 +8,7 @@ from .helpers import docs, words
 def brute(rows):
     """Removed line numbers by row, by comparing every line with all before it."""
     key = lambda r: (r[0] is None, r[0] or 0)
-    lines = [(key(r), i, frozenset(words(x)), k) for k, r in enumerate(rows) for i, x in enumerate((r[1] if r[1] is not None else "").split("\n")) if len(set(words(x))) >= 5]
+    lines = [(key(r), i, frozenset(words(x)), k) for k, r in enumerate(rows) for i, x in enumerate((r[1] if r[1] is not None else "").split("\n")) if words(x)]
     lines.sort(key=lambda x: x[:2])
     gone = {k: [] for k in range(len(rows))}
     for j, (o, i, s, k) in enumerate(lines):
@@ -46,7 +46,7 @@ def test_against_brute_force(spark, monkeypatch):
         kept = {(r.doc, r.line) for r in L.kept_lines(table).collect()}
         gone = brute(rows)
         for k, (d, text) in enumerate(rows):
-            some = [i for i, x in enumerate((text or "").split("\n")) if len(set(words(x))) >= 5]
+            some = [i for i, x in enumerate((text or "").split("\n")) if words(x)]
             assert [i for i in some if (d if d is not None else L._LAST, i) not in kept] == gone[k], (d, text)
         if seed == 1:
             texts = {r.doc_id: r.text for r in L.dedup_lines(table).collect()}
@@ -67,7 +67,7 @@ def test_repeated_rows_and_empty(spark):
     assert L.dedup_lines(docs(spark, [])).count() == 0
 
 
-def test_short_lines_take_part_on_request(spark):
+def test_short_lines(spark):
     rows = [(1, "All rights reserved.\none two three four\nx"), (2, "kept text\nAll rights reserved.\nx " + "x " * 9999), (3, "reserved. All rights\none two three four five\nnew"), (4, "無空白的一行\n\n \n無空白的一行"), (5, "x")]
-    out = {r.doc_id: r.text for r in L.dedup_lines(docs(spark, rows), min_words=1).collect()}
+    out = {r.doc_id: r.text for r in L.dedup_lines(docs(spark, rows)).collect()}
     assert out == {1: rows[0][1], 2: "kept text", 3: "new", 4: "無空白的一行\n\n "}

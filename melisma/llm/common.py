@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A small side of a join is broadcast up to so many rows; beyond, both sides are shuffled and the hot keys salted.
-BROADCAST_ROWS = 200_000
+#: A small side of a join is broadcast up to so many rows and bytes; beyond, both sides are shuffled and the hot keys salted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SALTS = 32
 
 
@@ -112,13 +112,18 @@ def short_plans(spark: SparkSession, most: int = 20_000):
     return settings(spark, {"spark.sql.maxPlanStringLength": most})
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size that the planner knows a table by: of a cut table and its columns, that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, salted: bool = True) -> DataFrame:
-    """Join with a side that has one row a key: broadcast if its counted rows allow it, else dealt out with salted keys
-    (or plain ones, where no key of `big` can be hot).
+    """Join with a side that has one row a key: broadcast if its counted rows and its size allow it, else dealt out with
+    salted keys (or plain ones, where no key of `big` can be hot).
 
     Null keys match nothing. `small` should be cheap to count (a cut table).
     """
-    if small.limit(limit + 1).count() <= limit:
+    if plan_bytes(small) <= BROADCAST_BYTES and small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), key, how)
     if not salted:
         return big.join(small, key, how)

@@ -33,7 +33,7 @@ from . import common as C
 PCT = 80
 SLOT_BITS = 16
 #: Under a word that more classes have in their prefixes, they are compared with two of them first.
-MANY = 256
+MANY = 1024
 #: Documents whose lists of lines a task gathers by hashing; beyond, it sorts.
 HELD = 20_000
 _HASH_BITS = 57
@@ -133,7 +133,7 @@ def _verified(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str,
     some = C.join_small(_lines(rows).withColumn("o", F.struct("doc", "line", "h")), lines, "o", "inner", salted=False)
     sets = C.cut(some.select("cid", "o", _word_set(F.col("l")).alias("words")).dropDuplicates(["cid"]))
     side = lambda c, i: sets.select(F.col("cid").alias(c), F.col("o").alias(f"o{i}"), F.col("words").alias(f"w{i}"))
-    both = C.join_small(C.join_small(pairs, side("a", 1), "a", "inner"), side("b", 2), "b", "inner")
+    both = C.join_small(C.join_small(pairs, side("a", 1), "a", "inner", salted=False), side("b", 2), "b", "inner", salted=False)
     shared = F.size(F.array_intersect("w1", "w2"))
     both = both.select(F.when(F.col("o1") > F.col("o2"), F.col("a")).otherwise(F.col("b")).alias("cid"), shared.alias("s"), (F.size("w1") + F.size("w2")).alias("z"))
     hits = C.cut(both.where(100 * F.col("s") >= pct * (F.col("z") - F.col("s"))).select("cid").distinct())

@@ -7,7 +7,8 @@ bounds. A document that crosses a bound gives one piece a window, the boundary r
 
 Edge cases: a null text packs as an empty one, as its end token alone. Repeated rows and ids are packed each. A text
 longer than a window spreads over many. An empty table gives no pieces. Other columns are ignored, whatever their names.
-The ids are those of the tokenizer file; strings of special tokens within a text count as ordinary text.
+The ids are those of the tokenizer file, without the special tokens that it would put around a text; a string within a
+text that the file declares as an added token has that token's id.
 """
 
 from __future__ import annotations
@@ -59,14 +60,18 @@ def encoder(path: str):
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added):
+            raise ValueError("added tokens that take in what stands around them are not supported")
+        special = {x["content"]: x["id"] for x in added}
         back = _byte_of()
         ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
     else:
+        special = {}
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    bpe = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: bpe.encode_to_numpy(text, disallowed_special=())
+    bpe = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: bpe.encode_to_numpy(text, allowed_special="all")
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:

@@ -16,23 +16,22 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(K.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=st.text(max_size=80))
-def test_ids_match_the_files_own_library(text):
-    from tokenizers import Tokenizer
+@given(parts=st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "\n\n", "<|", "a"])), max_size=6))
+def test_ids_match_the_files_own_library(reference, parts):
+    text = "".join(parts)
+    assert K.encoder(K.vocabulary_path())(text).tolist() == reference(text)
+
 
-    t = Tokenizer.from_file(K.vocabulary_path()) if not hasattr(K, "_t") else K._t
-    K._t = t
-    t.encode_special_tokens = True
-    assert K.encoder(K.vocabulary_path())(text).tolist() == t.encode(text, add_special_tokens=False).ids
+def test_added_tokens_within_a_text(reference):
+    assert K.encoder(K.vocabulary_path())("a <|endoftext|> b").tolist() == reference("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def test_round_trip(spark, reference):
-    rows = [(i, f"Word number {i} it's a tést.\n\n " * (i % 9)) for i in range(40)] + [(50, None), (51, ""), (None, "null id"), (7, "again 7"), (60, "long text " * 3000), (61, "<|endoftext|> x")]
+    rows = [(i, f"Word number {i} it's a tést.\n\n " * (i % 9)) for i in range(40)] + [(50, None), (51, ""), (None, "null id"), (7, "again 7"), (60, "long text " * 3000), (61, "<|endoftext|> x"), (62, "a <|endoftext|><|endoftext|>\n b")]
     table = docs(spark, rows, extra=True).repartition(5)
     pieces = K.pack(table, length=64).collect()
     assert all(0 < p.length <= 64 and len(p.ids) == 4 * p.length for p in pieces)

@@ -1,20 +1,26 @@
 """License notices by MinHash bands over overlapping windows. DataFrame functions only.
 
-A text is its words (letters and digits, lower case) and their shingles of SHINGLE words; a line with fewer words is one
-shingle, its whole sequence. Windows of WINDOW shingles, each starting half a window after the last, get BANDS MinHash
-values; a value that a window of a template has too retrieves the template. A template is then verified exactly: the
-share of its shingles that the text holds must reach PCT percent.
+A text is its words (letters and digits, lower case) and their shingles of SHINGLE words at every position; for templates
+of fewer words, also of so many words. Windows of WINDOW shingles, each starting half a window after the last, get BANDS
+MinHash values; a value that a window of a template has too retrieves the template. A template is then verified exactly:
+the share of its shingles that the text holds must reach PCT percent.
 
 Bands of one value each make retrieval near certain: a shingle lies in two windows, so that even a notice of a single
-shingle, whose windows share a quarter with it, is missed with a chance of 0.75 ** (2 * BANDS), about 0.001; a notice of
-n shingles has about n / 2 more windows to be found by.
+shingle, whose windows share a quarter with it, is missed with a chance of 0.75 ** (2 * BANDS), about one in a million; a
+notice of n shingles has about n / 2 more windows to be found by.
+
+Only texts in which one of the templates' anchors stands are hashed at all. Anchors are a template's longest words, so
+many that the shingles without any of them fall short of PCT percent: a text without anchors can hold no template.
 
 Edge cases: null and empty texts hold nothing; rows with the same id and text count once; an empty table gives no rows.
-Other columns are ignored, whatever their names. The templates are a parameter, of a bounded number and broadcast.
+Other columns are ignored, whatever their names. The templates are a parameter, of a bounded number and broadcast; one
+without words is never found.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +28,7 @@ from . import common as C
 
 SHINGLE = 5
 WINDOW = 4
-BANDS = 12
+BANDS = 24
 PCT = 80
 _SLOT_BITS = 16
 
@@ -53,12 +59,28 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of a text's shingles, in order; then those of its short lines."""
-    stream = _let(F.transform(_words(text), lambda w: F.xxhash64(w)), lambda w: F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>")))
-    short = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(x) < 120)
-    whole = F.transform(F.filter(F.transform(short, _words), lambda w: (F.size(w) > 0) & (F.size(w) < SHINGLE)), lambda w: F.xxhash64(F.array_join(w, " ")))
-    return F.concat(stream, whole)
+def shingles(text: Column, sizes: list[int]) -> Column:
+    """Hashes of a text's shingles of each size, in order, size by size."""
+    none = F.array().cast("array<bigint>")
+
+    def of(w: Column, k: int) -> Column:
+        at = lambda i: F.xxhash64(*[F.get(w, i + j if j else i) for j in range(k)])
+        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), at)).otherwise(none)
+
+    return _let(F.transform(_words(text), lambda w: F.xxhash64(w)), lambda w: F.concat(none, *[of(w, k) for k in sizes]))
+
+
+def anchors(words: list[str], pct: int) -> set[str]:
+    """The longest words of a template, so many that a text which holds pct percent of its shingles has one of them."""
+    k = min(len(words), SHINGLE)
+    open_ = [set(g) for g in {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}]
+    least, found = -(-pct * len(open_) // 100), set()
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(open_) < max(least, 1):
+            break
+        found.add(w)
+        open_ = [s for s in open_ if w not in s]
+    return found
 
 
 def band_values(hashes: Column, step: int, first: int, keep=None) -> Column:
@@ -77,17 +99,31 @@ def band_values(hashes: Column, step: int, first: int, keep=None) -> Column:
     return F.concat(*[one(k) for k in range(BANDS)])
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, grams (distinct shingles), bands (distinct MinHash values of its windows at every offset)."""
+def template_words(spark: SparkSession, templates: dict[str, str]) -> dict[str, list[str]]:
+    """The words of the templates that have any."""
+    if not templates:
+        return {}
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in templates.items()]))
-    base = spark.range(1).select(rows.alias("t")).select("t.license", shingles(F.col("t.text")).alias("h"))
+    return {r.license: r.words for r in spark.range(1).select(rows.alias("t")).select("t.license", _words(F.col("t.text")).alias("words")).collect() if r.words}
+
+
+def template_table(spark: SparkSession, words: dict[str, list[str]]) -> DataFrame:
+    """license, grams (distinct shingles), bands (distinct MinHash values of its windows at every offset)."""
+    parts = []
+    for size in sorted({min(len(w), SHINGLE) for w in words.values()}):
+        mine = [F.struct(F.lit(k).alias("license"), F.lit(" ".join(w)).alias("text")) for k, w in words.items() if min(len(w), SHINGLE) == size]
+        parts.append(spark.range(1).select(F.explode(F.array(*mine)).alias("t")).select("t.license", shingles(F.col("t.text"), [size]).alias("h")))
+    base = functools.reduce(DataFrame.unionByName, parts)
     return base.select("license", F.array_distinct("h").alias("grams"), F.array_distinct(band_values(F.col("h"), 1, 1 - WINDOW)).alias("bands"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT) -> DataFrame:
     """doc_id, mark (a hash of the text), license, n_template, n_found: the templates that a text holds."""
     spark = docs.sparkSession
-    known = template_table(spark, TEMPLATES if templates is None else templates)
+    own = template_words(spark, TEMPLATES if templates is None else templates)
+    if not own:
+        return spark.createDataFrame([], "doc_id long, mark long, license string, n_template long, n_found long")
+    known = template_table(spark, own)
     mask = (1 << _SLOT_BITS) - 1
     table = bytearray(b"0" * (mask + 1))
     for r in known.select(F.explode("bands").alias("b")).distinct().collect():  # as many as the templates have
@@ -95,9 +131,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     slots = F.lit(bytes(table))
     marked = lambda v, s: F.substring(slots, F.shiftrightunsigned(v, s).bitwiseAND(F.lit(mask)).cast("int") + 1, 1) == F.lit(b"1")
     keep = lambda v: v.isNotNull() & marked(v, 0) & marked(v, 20)
-    text = F.col(text_col).cast("string")
+    text = C.col(text_col).cast("string")
+    low = F.lower(text)
+    some = functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in sorted(set().union(*[anchors(w, pct) for w in own.values()]))])
+    sizes = sorted({min(len(w), SHINGLE) for w in own.values()})
     # the generator keeps what it makes from being worked out twice
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.explode(F.array(shingles(text))).alias("h"))
+    hashed = docs.where(some).select(C.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.explode(F.array(shingles(text, sizes))).alias("h"))
     hits = hashed.select("doc_id", "mark", "h", F.explode(F.array(F.array_distinct(band_values(F.col("h"), WINDOW // 2, 0, keep)))).alias("bands")).where(F.size("bands") > 0)
     by_band = known.select("license", "grams", F.explode("bands").alias("band"))
     found = hits.select("doc_id", "mark", "h", F.explode("bands").alias("band")).join(F.broadcast(by_band), "band")
@@ -112,17 +151,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
-    gram = " || ' ' || ".join(["ws[i]", *[f"ws[i + {j}]" for j in range(1, SHINGLE)]])
-    words = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-    sets = f"""SELECT id, unnest(list_distinct(list_concat(
-        list_transform(CASE WHEN len(ws) >= {SHINGLE} THEN range(1, len(ws) - {SHINGLE} + 2) ELSE [] END, lambda i: {gram}),
-        list_transform(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda l: length(l) < 120), lambda l: {words.format('l')}), lambda w: len(w) BETWEEN 1 AND {SHINGLE - 1}),
-                       lambda w: array_to_string(w, ' '))))) AS g
-      FROM (SELECT id, text, {words.format('text')} AS ws FROM"""
+    words = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    grams = "SELECT DISTINCT id, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM"
     return f"""
 WITH lic(id, text) AS (VALUES {values}),
-tg AS ({sets} lic)),
-dg AS ({sets} (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents))),
+tw AS (SELECT id, ws, least(len(ws), {SHINGLE}) AS k FROM (SELECT id, {words} AS ws FROM lic)),
+dw AS (SELECT doc_id AS id, {words} AS ws FROM documents WHERE text IS NOT NULL),
+tg AS ({grams} tw)),
+dg AS ({grams} (SELECT id, ws, k FROM dw, (SELECT DISTINCT k FROM tw)))),
 n AS (SELECT id, count(*) AS n FROM tg GROUP BY id),
 o AS (SELECT dg.id AS doc_id, tg.id AS license, count(*) AS k FROM dg JOIN tg USING (g) GROUP BY 1, 2)
 SELECT o.doc_id, o.license, n.n AS n_template, o.k AS n_found FROM o JOIN n ON n.id = o.license WHERE 100 * o.k >= {PCT} * n.n

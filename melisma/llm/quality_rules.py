@@ -2,7 +2,9 @@
 
 Each document gets counts from its whole text and a base verdict. Rule failures are then summed by host, each host's
 failure rate is shrunk toward the corpus by a beta prior fitted to all hosts, and the verdicts on hosts come back to
-the documents: a document stays if it passes the base rules and its host isn't rejected.
+the documents: a document stays if it passes the base rules and its host isn't rejected. The verdict is relative to the
+corpus: hosts that differ by chance alone are shrunk together and none of them goes, one that fails several times as
+often as the rest does.
 
 Edge cases: a null or empty text has no words, so its base rules fail. A null host is a host of its own, which is never
 rejected as a whole (it names nothing). Repeated rows and ids are judged row by row. An empty table gives no rows.
@@ -23,8 +25,9 @@ from . import common as C
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
-#: A host is rejected if its shrunk failure rate is above this.
-HOST_RATE = 0.5
+#: A host is rejected if its shrunk failure rate is above so many times the corpus's, but not below the first of these
+#: rates and always above the second.
+HOST_MULTIPLE, HOST_RATES = 3.0, (0.2, 0.5)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -99,7 +102,7 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return picked.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
-def host_verdicts(judged: DataFrame, rate: float = HOST_RATE) -> DataFrame:
+def host_verdicts(judged: DataFrame, multiple: float = HOST_MULTIPLE, rates: tuple[float, float] = HOST_RATES) -> DataFrame:
     """host, n_docs, n_failed, shrunk_rate, host_rejected from rows of (host, base_failed).
 
     The prior Beta(a, b) has the mean and, by the method of moments, the spread of the hosts' rates; where the rates
@@ -120,15 +123,15 @@ def host_verdicts(judged: DataFrame, rate: float = HOST_RATE) -> DataFrame:
     )
     shrunk = (F.col("n_failed") + m * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
     # one row of the prior beside each host
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > rate).alias("host_rejected"))
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > F.least(F.lit(rates[1]), F.greatest(F.lit(rates[0]), m * multiple))).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rate: float = HOST_RATE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", multiple: float = HOST_MULTIPLE, rates: tuple[float, float] = HOST_RATES) -> DataFrame:
     """One row per row of docs: doc_id, host, the counts, base_failed, shrunk_rate, kept."""
     counted = document_counts(docs, id_col, text_col, host_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     rows = C.cut(counted.withColumn("base_failed", failed))
-    hosts = C.cut(host_verdicts(rows, rate))
+    hosts = C.cut(host_verdicts(rows, multiple, rates))
     out = C.join_small(rows, hosts.select("host", "shrunk_rate", "host_rejected"), "host")
     return out.select("doc_id", "host", *COUNTS, "base_failed", "shrunk_rate", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
 
@@ -163,7 +166,7 @@ h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k F
 p0 AS (SELECT sum(k) / sum(n) AS m, coalesce(var_samp(k / n), 0) AS v, avg(n) AS sz, avg(1 / n) AS inv FROM h),
 p AS (SELECT m, CASE WHEN v - m * (1 - m) * inv > 0 AND m > 0 AND m < 1
                      THEN greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1) ELSE sz END AS s FROM p0),
-bad AS (SELECT source FROM h, p WHERE (k + m * s) / (n + s) > 0.5)
+bad AS (SELECT source FROM h, p WHERE (k + m * s) / (n + s) > least(0.5, greatest(0.2, 3 * m)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad))) AS kept
 FROM f

@@ -44,3 +44,24 @@ def test_hosts_and_edges(spark):
     assert len(got) == len(rows)
     assert kept[0] and not kept[100] and not kept[200] and not kept[300] and not kept[301] and kept[302] and kept[None]
     assert Q.judge(docs(spark, [])).count() == 0
+
+
+def test_verdicts_on_hosts_match_sql(spark):
+    import duckdb
+
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(h * 100 + i, "x" if i < (40 if h == 3 else 5 + h % 2) else good, "en", f"host{h}") for h in range(8) for i in range(100)]
+    rows += [(2000 + i, "x", "en", "tiny") for i in range(1)] + [(3000, good, "en", "tiny"), (3001, good, "en", None), (3002, "x", "en", None)]
+    table = docs(spark, rows)
+    got = {(r.doc_id, r.base_failed, r.kept) for r in Q.judge(table).collect()}
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    twin = con.execute(Q.SQL).df()
+    assert got == set(zip(twin.doc_id, twin.base_failed, twin.kept, strict=True))
+    lost = {d for d, failed, kept in got if not failed and not kept}
+    assert lost == {d for d, t, _, h in rows if h == "host3" and t == good}  # two rows of a small host prove little
+
+
+def test_hosts_that_differ_by_chance_stay(spark):
+    judged = spark.createDataFrame([(f"h{i % 20}", (i * 7919) % 11 == 0) for i in range(1000)], "host string, base_failed boolean")
+    assert Q.host_verdicts(judged).where("host_rejected").isEmpty()

@@ -2,8 +2,10 @@
 
 Equal vectors form one class. Classes are dealt over shards of at most SHARD_ROWS; each shard gets a graph of its own,
 and every class queries every shard of its dimension. A beam is widened while its last hit still links, and all beams of
-a task until the recall of an audit against brute force reaches AUDIT_RECALL. Hits are verified by their cosine in
-double precision, and the components of the links are joined up.
+a task until the recall of an audit against brute force, the mean over audited queries that have a partner, reaches
+AUDIT_RECALL; a task in which no beam reaches it compares all pairs. Hits are verified by their cosine in double
+precision, and the components of the links are joined up. A vector's links are those that its own search finds; a
+component follows the links found from either end.
 
 A task returns counts of links and, of the links themselves, a spanning forest: as many rows as vectors, however large
 a group of near copies is.
@@ -27,13 +29,18 @@ from .components import components
 
 COSINE = 0.9
 SHARD_ROWS = 65_536
+#: A shard has fewer rows where its vectors would take more bytes.
+SHARD_BYTES = 1 << 28
 MIN_SHARDS = 8
 QUERY_BLOCK = 262_144
 #: Links of a node (twice as many on the ground layer), beam while building, first beam of a query.
 LINKS, BUILD_BEAM, BEAM = 12, 48, 48
-AUDIT_QUERIES, AUDIT_RECALL = 256, 0.99
+#: An audit takes queries in steps of so many, until so many of them have a partner or so many steps are done; recall to reach.
+AUDIT_QUERIES, AUDIT_LINKED, AUDIT_STEPS, AUDIT_RECALL = 256, 64, 16, 0.99
 _WIDTH = 4  # nodes that a beam expands at a time
 _LOCKSTEP = 256  # queries that move together
+#: Links that a task holds before it folds them into a forest.
+HELD_LINKS = 1 << 20
 
 
 class Graph:
@@ -164,45 +171,83 @@ class Graph:
             entry = self.search(q, 1, k, entry)[0][:, 0]
         return self.search(q, min(beam, max(self.n, 1)), 0, entry)
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the hits with at least that cosine; a beam full of hits is widened until it isn't."""
-        out_q, out_n = [], []
+    def within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) of the hits with at least that cosine, some queries at a time; a beam full of hits is widened
+        until it isn't."""
         for a in range(0, len(q), _LOCKSTEP):
             todo, wide = np.arange(a, min(len(q), a + _LOCKSTEP)), beam
             while len(todo):
-                ids, sims = self.query(q[todo], wide)
-                full = (sims[:, -1] >= least) & (wide < self.n)
-                hit = (sims >= least) & ~full[:, None]
-                r, c = np.nonzero(hit)
-                out_q.append(todo[r])
-                out_n.append(ids[r, c])
-                todo, wide = todo[full], wide * 4
-        return np.concatenate(out_q) if out_q else np.zeros(0, int), np.concatenate(out_n) if out_n else np.zeros(0, int)
+                step = max(1, _LOCKSTEP * 4096 // max(4096, min(wide, self.n)))  # wide beams: fewer queries together
+                again = []
+                for x in range(0, len(todo), step):
+                    some = todo[x : x + step]
+                    ids, sims = self.query(q[some], wide)
+                    full = (sims[:, -1] >= least) & (wide < self.n)
+                    r, c = np.nonzero((sims >= least) & ~full[:, None])
+                    yield some[r], ids[r, c]
+                    again.append(some[full])
+                todo, wide = np.concatenate(again), wide * 4
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def find_links(graph: Graph, nodes: np.ndarray, queries: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, node) of all links, and the recall of the last audit. nodes and queries: double unit vectors."""
-    q = queries.astype(np.float32)
-    sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT_QUERIES)).astype(int)) if len(q) else np.zeros(0, int)
-    truth = queries[sample] @ nodes.T >= cosine
-    while True:
-        a, b = graph.within(q[sample], cosine - 1e-5, beam)
-        found = np.zeros_like(truth)
-        found[a, b] = True
-        recall = float((found & truth).sum() / truth.sum()) if truth.any() else 1.0
-        if recall >= AUDIT_RECALL or beam >= graph.n:
+def brute(queries: np.ndarray, nodes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) of all pairs with at least that cosine, some queries at a time."""
+    nodes = nodes.astype(np.float32)
+    for a in range(0, len(queries), _LOCKSTEP):
+        r, c = np.nonzero(queries[a : a + _LOCKSTEP].astype(np.float32) @ nodes.T >= least)
+        yield r + a, c
+
+
+def audit_sample(queries: np.ndarray, nodes: np.ndarray, own: np.ndarray, least: float) -> list[tuple[int, np.ndarray]]:
+    """(query, its true partners) of evenly spread queries that have a partner besides themselves: as many steps of
+    AUDIT_QUERIES, up to AUDIT_STEPS, as it takes to find AUDIT_LINKED of them."""
+    out: list[tuple[int, np.ndarray]] = []
+    spread = np.random.default_rng(5).permutation(len(queries))
+    for step in range(AUDIT_STEPS):
+        some = spread[step * AUDIT_QUERIES : (step + 1) * AUDIT_QUERIES]
+        if not len(some) or len(out) >= AUDIT_LINKED:
             break
-        beam *= 2
-    a, b = graph.within(q, cosine - 1e-5, beam)
-    true = np.zeros(len(a), bool)
-    for x in range(0, len(a), 1 << 18):
-        y = slice(x, x + (1 << 18))
-        true[y] = np.einsum("ij,ij->i", queries[a[y]], nodes[b[y]]) >= cosine
-    return a[true], b[true], recall
+        for r, c in brute(queries[some], nodes, least):
+            other = c != own[some[r]]
+            r, c = r[other], c[other]
+            at = np.flatnonzero(np.diff(r, prepend=-1))
+            out += [(int(some[r[i]]), part) for i, part in zip(at, np.split(c, at[1:]), strict=True)] if len(r) else []
+    return out
+
+
+def find_links(graph: Graph, nodes: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], float]:
+    """((query, node) of all links, some queries at a time; the recall of the last audit, the mean over audited queries).
+
+    nodes and queries: double unit vectors; own: each query's own node, or -1. Beams are widened until the audit passes;
+    where no beam does, every query is compared with every node.
+    """
+    least = cosine - 1e-5
+    truth = audit_sample(queries, nodes, own, least)
+    q = queries.astype(np.float32)
+    recall = 1.0
+    if truth:
+        asked = np.array([i for i, _ in truth])
+        sizes = np.array([len(c) for _, c in truth])
+        wanted = np.repeat(np.arange(len(truth)), sizes) * graph.n + np.concatenate([c for _, c in truth])
+        while True:
+            hits = [a * graph.n + b for a, b in graph.within(q[asked], least, beam)]
+            held = np.isin(wanted, np.concatenate(hits)) if hits else np.zeros(len(wanted), bool)
+            recall = float((np.add.reduceat(held, np.cumsum(sizes) - sizes) / sizes).mean())
+            if recall >= AUDIT_RECALL or beam >= graph.n:
+                break
+            beam *= 2
+
+    def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in graph.within(q, least, beam) if recall >= AUDIT_RECALL else brute(queries, nodes, least):
+            for x in range(0, len(a), 1 << 18):
+                i, j = a[x : x + (1 << 18)], b[x : x + (1 << 18)]
+                true = (np.einsum("ij,ij->i", queries[i], nodes[j]) >= cosine) & (j != own[i])
+                yield i[true], j[true]
+
+    return links(), recall
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,8 +317,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """One row a vector: vec_id, n_links, component_id."""
     rows = C.cut(classes(vectors, id_col, vec_col))
     one = C.cut(rows.where("cid is not null").groupBy("cid").agg(F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.count("*").alias("m"), F.min("vec_id").alias("least")))
-    total = one.count()
-    shards = max(MIN_SHARDS, -(-total // SHARD_ROWS))
+    size = one.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    total = size.n
+    shards = max(MIN_SHARDS, -(-total // max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (size.dim or 1))))))
     blocks = max(1, -(-total // QUERY_BLOCK))
     nodes = one.select("cid", "dim", "unit", "m", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
     asked = one.select("cid", "dim", "unit", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
@@ -301,12 +347,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         g.x[: g.n] = x
         g.near = [np.frombuffer(a, np.int32).reshape(g.n + 1, -1).copy() for a in left["layers"][0].as_py()]
         names = np.asarray(right["cid"].to_numpy(), np.int64)
-        a, b, _ = find_links(g, x, _matrix(right["unit"]), cosine, beam)
-        other = names[a] != cids[b]
-        a, b = a[other], b[other]
-        counts = np.bincount(a, ms[b], len(names)).astype(np.int64)
+        order = np.argsort(cids)
+        place = np.minimum(np.searchsorted(cids[order], names), len(cids) - 1)
+        own = np.where(cids[order[place]] == names, order[place], -1)
+        links, _ = find_links(g, x, _matrix(right["unit"]), own, cosine, beam)
+        # of the links only their counts and a spanning forest are held
+        counts = np.zeros(len(names), np.int64)
+        fa, fb = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in links:
+            counts += np.bincount(i, ms[j], len(names)).astype(np.int64)
+            held.append((names[i], cids[j]))
+            if sum(len(x) for x, _ in held) > HELD_LINKS:
+                fa, fb = _forest(np.concatenate([fa, *[x for x, _ in held]]), np.concatenate([fb, *[y for _, y in held]]))
+                held = []
+        fa, fb = _forest(np.concatenate([fa, *[x for x, _ in held]]), np.concatenate([fb, *[y for _, y in held]]))
         has = np.flatnonzero(counts)
-        fa, fb = _forest(names[a], cids[b])
         blank = pa.nulls(len(fa), pa.int64())
         return pa.table({"a": pa.array(np.concatenate((fa, names[has]))), "b": pa.concat_arrays([pa.array(fb, pa.int64()), pa.nulls(len(has), pa.int64())]), "linked": pa.concat_arrays([blank, pa.array(counts[has], pa.int64())])})
 

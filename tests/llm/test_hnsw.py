@@ -43,10 +43,31 @@ def test_wide_beams_and_large_groups():
     rng = np.random.default_rng(1)
     x = H._unit(np.concatenate((rng.normal(size=(1500, 24)), rng.normal(size=24) + 0.05 * rng.normal(size=(700, 24)))))
     g = H.Graph(x.astype(np.float32))
-    a, b, recall = H.find_links(g, x, x[::3])
-    truth = {(i, j) for i, j in zip(*np.nonzero(x[::3] @ x.T >= 0.9), strict=True)}
-    assert recall >= H.AUDIT_RECALL and len(truth & set(zip(a.tolist(), b.tolist(), strict=True))) >= 0.99 * len(truth)
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) <= truth
+    own = np.arange(len(x))[::3]
+    links, recall = H.find_links(g, x, x[::3], own)
+    got = {(i, j) for a, b in links for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    truth = {(i, j) for i, j in zip(*np.nonzero(x[::3] @ x.T >= 0.9), strict=True) if own[i] != j}
+    assert recall >= H.AUDIT_RECALL and got <= truth and len(got) >= 0.99 * len(truth)
+
+
+def test_all_pairs_where_no_beam_passes(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = H._unit(np.repeat(rng.normal(size=(400, 8)), 2, axis=0) + 0.01 * rng.normal(size=(800, 8)))
+    g = H.Graph(x.astype(np.float32))
+    for layer in g.near:
+        layer[:] = g.n  # a graph without links finds nothing
+    links, recall = H.find_links(g, x, x, np.arange(800), beam=8)
+    got = {(i, j) for a, b in links for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert recall < H.AUDIT_RECALL and got == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i != j}
+
+
+def test_audits_look_for_rare_partners(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = H._unit(rng.normal(size=(3000, 32)))
+    x[2999] = x[0] + 1e-3
+    x = H._unit(x)
+    got = H.audit_sample(x, x, np.arange(3000), 0.9)
+    assert sorted((i, c.tolist()) for i, c in got) == [(0, [2999]), (2999, [0])]
 
 
 def test_empty(spark):

@@ -7,7 +7,7 @@ out-of-place distance to a profile sums, over the document's n-grams, how far ea
 
 Edge cases: a null text, or one without a letter, is `und` with score 0. Ties in frequency go by the n-gram's code
 points, ties in distance to the language name that sorts first. Null labels teach nothing; without labelled documents
-every text is `und`. Repeated rows are each predicted. Other columns are ignored, whatever their names.
+every text is `und`; a null id is in no held-out fold. Repeated rows are each predicted. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from . import common as C
 PROFILE = 400
 #: The bound of the fitting sample: documents a language (met on average; rows are picked by a hash of the id).
 MAX_PER_LANG = 2_000
+#: Labels that are learned: those of the most documents.
+MAX_LANGS = 500
 UNKNOWN = "und"
 
 
@@ -107,9 +109,9 @@ def fit(docs: DataFrame, folds: int = 3, held_out: int | None = 1, max_per_lang:
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     if held_out is not None:
         known = known.where(F.coalesce(C.fold("doc_id", folds), F.lit(-1)) != held_out)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max_per_lang)) / F.col("n")).alias("share"))
-    # as many rows as languages
+    # as many rows as languages, MAX_LANGS at most
     picked = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,5 +157,5 @@ def identifier(spark: SparkSession, profiles: Profiles):
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     identify = identifier(spark, fit(docs))
-    got = docs.select("doc_id", (C.fold("doc_id", 3) == 1).alias("held_out"), identify("text").alias("p"))
+    got = docs.select("doc_id", F.coalesce(C.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), identify("text").alias("p"))
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -38,11 +38,16 @@ def row(df: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names. Where it names none, the warehouse; a temporary folder only where all
+    runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="melisma-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        master = spark.sparkContext.master
+        if master.startswith("local") and not master.startswith("local-cluster"):
+            found = tempfile.mkdtemp(prefix="melisma-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/melisma-work"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -59,16 +64,6 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_by_key(df: DataFrame, key: str) -> DataFrame:
-    """A cut that stays dealt out by a key: joins and groups on the key read it without a shuffle."""
-    spark = df.sparkSession
-    name = f"melisma_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_dir(spark)}/melisma/{name}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
-
-
 def release(*tables: DataFrame | None) -> None:
     """Delete cut tables that nothing needs any more, and let Spark clean up the shuffles behind them."""
     spark = None

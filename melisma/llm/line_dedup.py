@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PCT = 80
-SLOT_BITS = 16
+SLOT_BITS = 18
 #: Under a word that more classes have in their prefixes, they are compared with two of them first.
-MANY = 1024
+MANY = 256
 #: Documents whose lists of lines a task gathers by hashing; beyond, it sorts.
 HELD = 20_000
 _HASH_BITS = 57

@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates. DataFrame functions only.
 
-Found are e-mail addresses, phone numbers, IPv4 addresses, payment card numbers, social security numbers, access keys,
-values of passwords and tokens, and names (known given names, and the word after one or after a title). Each distinct
+Found are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment card and bank account numbers (IBAN), social
+security numbers, access keys by their public prefixes and signed tokens, values of passwords and tokens, and names
+(known given names, and the surname after one, after a title or after initials, hyphens and particles included). Each distinct
 entity, in its canonical form, gets one surrogate for the whole corpus: other spellings of it (another layout of the
 same number, another case of the same address) get the same one, so that coreference survives. A surrogate has the
 type's form: digits for digits, letters for letters, an area code that can be one, a card number with a valid check
@@ -9,7 +10,9 @@ digit where the original's is valid, a given name of the same gender and script,
 gender ending.
 
 Surrogates come from a keyed hash. A candidate is refused if it is a real entity of its type anywhere in the corpus or
-another's surrogate; who is refused draws again, so distinct entities stay distinct. Given names map one to one onto a
+another's surrogate; who is refused draws again, so distinct entities stay distinct. Each further draw makes mailboxes,
+secrets and surnames longer, and from draw WIDE on all other types take forms of over 100 bits, so that there is always
+a surrogate left however crowded a form is. Given names map one to one onto a
 list that shares no name with the known ones.
 
 Edge cases: null and empty texts pass unchanged; rows with the same id and text count as one document and get the same
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KEY = "melisma"
-ROUNDS = 30
+WIDE = 12
 
 #: Known given names, by gender and script.
 GIVEN = {
@@ -50,7 +53,14 @@ _SYLLABLES = {
     "latin": "bar cor dal fen gar hol kel lin mor nor pel quin ros sal tor ul ver wes yar zan".split(),
     "cyrillic": "бар вел гор дан жар зел кор лом мир нов пол ров сев тар ум фед хол чер шал юр".split(),
 }
-_SURNAME = r"(?:\p{IsLatin}{2,24}|\p{IsCyrillic}{2,24})"
+_LETTERS = r"(?:\p{IsLatin}{2,24}|\p{IsCyrillic}{2,24})"
+_PARTICLE = r"(?:von|van|de|del|della|di|la|le|der|den|ter|zu) "
+_SURNAME = rf"(?:(?:{_PARTICLE}){{0,2}}(?=\p{{Lu}})(?:[OD]['’](?=\p{{Lu}}))?{_LETTERS}(?:-(?=\p{{Lu}}){_LETTERS})?)"
+#: Public prefixes of access keys and signed tokens.
+_PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|sk_test_|eyJ)"
+_ACCESS = r"(?:A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|sk_(?:live|test)_[0-9A-Za-z]{16,255}|eyJ[\w-]{8,}(?:\.[\w-]{8,}){1,2})"
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?"
+_IPV6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
 _EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,18}"
 _CARD = r"(?:[3-6]\d{3}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})"
 _QUOTE = r"\x22\x27\x60“”‘’"
@@ -63,15 +73,17 @@ PATTERN = (
     r"(?<![\p{L}\p{N}_%+])(?:"
     rf"{_SECRET}"
     rf"|{_EMAIL}"
-    r"|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+    rf"|{_ACCESS}"
+    rf"|{_IBAN}(?![\p{{L}}\p{{N}}])"
+    rf"|(?:{_IPV6})(?![\p{{L}}\p{{N}}:])"
     rf"|{_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
     rf"|{_CARD}(?!\d)"
     r"|\d{3}-\d{2}-\d{4}(?!\d)"
     r"|(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     rf"|(?:{_NAMES})(?![\p{{L}}\p{{N}}])"
-    rf"|(?<=(?:{_TITLES})\.? )(?=\p{{Lu}}){_SURNAME}(?![\p{{L}}\p{{N}}])"
-    rf"|(?<=(?:{_NAMES}) )(?=\p{{Lu}}){_SURNAME}(?![\p{{L}}\p{{N}}])"
+    rf"|(?=\p{{Lu}}|{_PARTICLE})(?<=(?:{_TITLES})\.? (?:\p{{Lu}}\. ){{0,2}}){_SURNAME}(?![\p{{L}}\p{{N}}])"
+    rf"|(?=\p{{Lu}}|{_PARTICLE})(?<=(?:{_NAMES}) (?:\p{{Lu}}\. ){{0,2}}){_SURNAME}(?![\p{{L}}\p{{N}}])"
     r")"
 )
 
@@ -81,19 +93,21 @@ def _digits(raw: Column) -> Column:
 
 
 def kind(raw: Column) -> Column:
-    out = F.when(raw.rlike(rf"^{_EMAIL}$"), "email").when(raw.rlike(r"^AKIA[0-9A-Z]{16}$"), "key").when(raw.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
+    out = F.when(raw.rlike(rf"^{_EMAIL}$"), "email").when(raw.rlike(rf"^{_ACCESS}$"), "key").when(raw.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
+    out = out.when(raw.rlike(rf"^{_IBAN}$"), "iban").when(raw.rlike(rf"^(?:{_IPV6})$"), "ipv6")
     out = out.when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(raw.rlike(rf"^{_CARD}$"), "card").when(raw.rlike(r"^[+(\d][\d .()-]+$") & (raw.rlike(r"[ .()-]") | raw.startswith("+")), "phone")
     for k, names in GIVEN.items():
         out = out.when(raw.isin(names), k)
-    out = out.when(raw.rlike(r"^\p{Lu}\p{IsCyrillic}*(?:ова|ева|ина|ая)$"), "surname_f_cyrillic").when(raw.rlike(r"^(?=\p{Lu})\p{IsCyrillic}+$"), "surname_m_cyrillic")
-    return out.when(raw.rlike(r"^(?=\p{Lu})\p{IsLatin}+$"), "surname_latin").otherwise("secret")
+    out = out.when(raw.rlike(r"^\p{Lu}[\p{IsCyrillic}-]*(?:ова|ева|ина|ая)$"), "surname_f_cyrillic").when(raw.rlike(r"^(?=\p{Lu})[\p{IsCyrillic}-]+$"), "surname_m_cyrillic")
+    return out.when(raw.rlike(rf"^{_SURNAME}$"), "surname_latin").otherwise("secret")
 
 
 def canonical(raw: Column, what: Column) -> Column:
     """One form for all spellings of an entity."""
     d = _digits(raw)
     phone = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
-    return F.when(what == "email", F.lower(raw)).when(what == "phone", phone).when(what.isin("card", "ssn"), d).otherwise(raw)
+    out = F.when(what == "email", F.lower(raw)).when(what == "phone", phone).when(what.isin("card", "ssn"), d)
+    return out.when(what == "iban", F.replace(raw, F.lit(" "))).when(what == "ipv6", F.lower(raw)).otherwise(raw)
 
 
 def _let(value: Column, f) -> Column:
@@ -129,6 +143,12 @@ def _luhn(digits: Column, odd: int) -> Column:
     return F.aggregate(parts, F.lit(0), lambda t, x: t + F.when(x > 9, x - 9).otherwise(x))
 
 
+def _rest97(text: Column) -> Column:
+    """A text of digits and capitals modulo 97, a capital as its two-digit number from A = 10."""
+    step = lambda t, c: F.when(c.rlike("[0-9]"), (t * 10 + F.ascii(c) - 48) % 97).otherwise((t * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
 def candidate(what: Column, canon: Column, draw: Column, key: str) -> Column:
     """The surrogate that the keyed hash gives an entity at a draw, in canonical form."""
     sha = lambda *parts: F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 512)
@@ -136,9 +156,10 @@ def candidate(what: Column, canon: Column, draw: Column, key: str) -> Column:
     def by(h: Column) -> Column:
         at = lambda i: F.lit(i)
         like = _like(canon, h)
+        more = F.repeat(F.lit("x"), draw.cast("int"))
         domain = F.substring_index(canon, "@", -1)
         host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-        email = F.concat(_like(F.substring_index(canon, "@", 1), h), F.lit("@"), _let(sha(F.lit("domain"), domain), lambda d: _like(host, d)), F.lit("."), F.substring_index(domain, ".", -1))
+        email = F.concat(_like(F.concat(F.substring_index(canon, "@", 1), more), h), F.lit("@"), _let(sha(F.lit("domain"), domain), lambda d: _like(host, d)), F.lit("."), F.substring_index(domain, ".", -1))
         first = (_number(h, at(50), 8) + 2).cast("string")
         phone = F.when(F.length(canon) == 10, F.concat(first, F.substring(like, 2, 2), (_number(h, at(51), 8) + 2).cast("string"), F.substring(like, 5, 6))).otherwise(F.concat(F.substring(canon, 1, 2), like.substr(F.lit(3), F.length(canon))))
         n = F.length(canon)
@@ -147,10 +168,18 @@ def candidate(what: Column, canon: Column, draw: Column, key: str) -> Column:
         card = F.when(_luhn(canon, 0) % 10 == 0, F.concat(body, _let(body, lambda b: ((10 - _luhn(b, 1) % 10) % 10).cast("string")))).otherwise(F.concat(body, like.substr(n, F.lit(1))))
         ip = F.concat_ws(".", (_number(h, at(0), 200) + 11).cast("string"), *[_number(h, at(i), 254).cast("string") for i in (1, 2)], (_number(h, at(3), 253) + 1).cast("string"))
         ssn = F.concat((_number(h, at(50), 8) + 1).cast("string"), F.substring(like, 2, 8))
-        names = lambda script, end: F.concat(F.initcap(F.element_at(F.array(*map(F.lit, _SYLLABLES[script])), _number(h, at(10), 20) + 1)), *[F.element_at(F.array(*map(F.lit, _SYLLABLES[script])), _number(h, at(i), 20) + 1) for i in (11, 12, 13)], F.lit(end))
-        out = F.when(what == "email", email).when(what == "phone", phone).when(what == "card", card).when(what == "ip", ip).when(what == "ssn", ssn)
-        out = out.when(what == "key", F.concat(F.lit("AKIA"), F.substring(like, 5, 16)))
-        return out.when(what == "surname_latin", names("latin", "")).when(what == "surname_f_cyrillic", names("cyrillic", "ова")).when(what == "surname_m_cyrillic", names("cyrillic", "ов")).otherwise(_hidden(canon, h))
+        syllable = lambda script, i: F.element_at(F.array(*map(F.lit, _SYLLABLES[script])), _number(h, i, 20) + 1)
+        names = lambda script, end: F.concat(F.initcap(syllable(script, F.lit(10))), F.array_join(F.transform(F.sequence(F.lit(11), draw.cast("int") + 13), lambda i: syllable(script, i)), ""), F.lit(end))
+        iban = _let(F.concat(F.substring(canon, 1, 2), F.substring(like, 5, 34)), lambda x: F.concat(F.substring(x, 1, 2), F.lpad((98 - _rest97(F.concat(x.substr(F.lit(3), F.length(x)), F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x.substr(F.lit(3), F.length(x))))
+        group = lambda i: F.substring(h, i * 4 + 1, 4)
+        ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[group(i) for i in range(6)])
+        digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (_number(h, i, 250) % 10).cast("string")), "")
+        wide = draw >= WIDE
+        prefix = F.regexp_extract(canon, f"^({_PREFIX})", 1)
+        out = F.when(what == "email", email).when(what.isin("phone", "card", "ssn") & wide, digits).when((what == "ip") & wide, ipv6).when((what == "iban") & wide, F.concat(F.substring(canon, 1, 2), digits))
+        out = out.when(what == "phone", phone).when(what == "card", card).when(what == "ip", ip).when(what == "ssn", ssn).when(what == "iban", iban).when(what == "ipv6", ipv6)
+        out = out.when(what == "key", F.concat(prefix, like.substr(F.length(prefix) + 1, F.length(canon))))
+        return out.when(what == "surname_latin", names("latin", "")).when(what == "surname_f_cyrillic", names("cyrillic", "ова")).when(what == "surname_m_cyrillic", names("cyrillic", "ов")).otherwise(_hidden(F.concat(canon, more), h))
 
     return _let(sha(what, canon, draw.cast("string")), by)
 
@@ -169,9 +198,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     assigned = C.cut(entities.where(F.col("type").startswith("given")).join(F.broadcast(given), ["type", "canon"]))
     open_ = C.cut(entities.where(~F.col("type").startswith("given")))
     real = open_.select("type", F.col("canon").alias("s"))
-    for draw in range(ROUNDS):
-        if open_.isEmpty():
-            return assigned
+    draw = 0
+    while not open_.isEmpty():
         offered = open_.withColumn("s", candidate(F.col("type"), F.col("canon"), F.lit(draw), key))
         free = offered.join(real, ["type", "s"], "left_anti")
         if draw:
@@ -179,16 +207,21 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         won = C.cut(free.groupBy("type", "s").agg(F.min("canon").alias("canon")).select("type", "canon", "s"))
         assigned = assigned.unionByName(won)
         open_ = C.cut(open_.join(won, ["type", "canon"], "left_anti"))
-    raise RuntimeError("too few surrogates of a type for its entities")
+        draw += 1
+    return assigned
 
 
 def render(raw: Column, what: Column, s: Column) -> Column:
     """A surrogate in the layout of the text that it replaces."""
     d = _digits(raw)
     full = F.when((what == "phone") & (F.length(d) == 11) & d.startswith("1"), F.concat(F.lit("1"), s)).otherwise(s)
-    place = lambda i: F.length(_digits(F.substring(raw, F.lit(1), i + 1)))
-    laid = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(full, place(i), F.lit(1))).otherwise(c)), "")
-    return F.when(what.isin("phone", "card", "ssn"), laid).when((what == "email") & (F.upper(raw) == raw), F.upper(s)).otherwise(s)
+    # the i-th character of the layout takes the next one of the surrogate; a longer surrogate stands as it is
+    shown = F.when(what == "iban", F.replace(raw, F.lit(" "))).otherwise(d)
+    slot = lambda c: (what == "iban") & (c != " ") | c.rlike("[0-9]")
+    place = lambda i: F.length(F.when(what == "iban", F.replace(F.substring(raw, F.lit(1), i + 1), F.lit(" "))).otherwise(_digits(F.substring(raw, F.lit(1), i + 1))))
+    laid = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(slot(c), F.substring(full, place(i), F.lit(1))).otherwise(c)), "")
+    laid = F.when(F.length(shown) == F.length(full), laid).otherwise(F.concat(F.when(what == "phone", "+").otherwise(""), full))
+    return F.when(what.isin("phone", "card", "ssn", "iban"), laid).when((what == "email") & (F.upper(raw) == raw), F.upper(s)).otherwise(s)
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

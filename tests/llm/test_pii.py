@@ -133,3 +133,47 @@ def test_whole_values_and_cards_of_15_digits(spark):
     one, two = regex.fullmatch(r"pay (\d{15}) or (\d{4}-\d{6}-\d{5})", out[10]).groups()
     assert one == two.replace("-", "")
     assert out[12] == rows[12][1]
+
+
+def test_crowded_forms_always_find_a_surrogate(spark):
+    rows = [(i, f"write to {chr(97 + i)}@tiny.org now") for i in range(26)] + [(30, "password: --------  and more"), (31, "token=________ x")]
+    rows += [(100 + i, f"password={i:08}") for i in range(50)]
+    out = {r.doc_id: r.text for r in P.pseudonymise(docs(spark, rows)).collect()}
+    boxes = {regex.fullmatch(r"write to (\S+@\S+\.org) now", out[i])[1] for i in range(26)}
+    assert len(boxes) == 26 and not boxes & {f"{chr(97 + i)}@tiny.org" for i in range(26)}
+    assert out[30] == rows[26][1] and len({out[100 + i] for i in range(50)}) == 50
+
+
+def test_every_type_goes_on_when_its_form_is_full(spark, monkeypatch):
+    monkeypatch.setattr(P, "WIDE", 1)
+    ents = [(t, c) for t, cs in {"ssn": ["111223333", "111223334"], "phone": ["2135552625", "2135552626"], "ip": ["10.0.0.1"], "card": ["4539578763621486"], "iban": ["DE89370400440532013000"], "surname_latin": ["Lopez"]}.items() for c in cs]
+    table = spark.createDataFrame(ents, "type string, canon string")
+    wide = {(r.type, r.canon): r.s for r in table.withColumn("s", P.candidate(P.F.col("type"), P.F.col("canon"), P.F.lit(1), "k")).collect()}
+    assert len(set(wide.values())) == len(ents) and all(len(v) >= 15 for v in wide.values())
+    raw = spark.createDataFrame([("213-555-2625", "phone", "1" * 40), ("213-555-2625", "phone", "2125550000")], "raw string, what string, s string")
+    assert [r.x for r in raw.select(P.render(P.F.col("raw"), P.F.col("what"), P.F.col("s")).alias("x")).collect()] == ["+" + "1" * 40, "212-555-0000"]
+
+
+def test_more_types(spark):
+    iban, v6 = "DE89 3704 0044 0532 0130 00", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    key, jwt = "ghp_" + "a1B2" * 9, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N"
+    texts = [f"to {iban} today", f"host {v6} up", "host fe80::1ff:fe23:4567:890a up", f"key {key} leaked", f"bearer {jwt}", "Dr. J. van der Meer-Schulz came", "Frau O'Neill left", "at 10:30:15 we std::vector it"]
+    got = defaultdict(list)
+    for r in P.mentions(docs(spark, list(enumerate(texts)))).orderBy("pos").collect():
+        got[r.doc_id].append((r.type, r.raw))
+    assert dict(got) == {0: [("iban", iban)], 1: [("ipv6", v6)], 2: [("ipv6", "fe80::1ff:fe23:4567:890a")], 3: [("key", key)], 4: [("key", jwt)], 5: [("surname_latin", "van der Meer-Schulz")], 6: [("surname_latin", "O'Neill")]}
+    out = {r.doc_id: r.text for r in P.pseudonymise(docs(spark, list(enumerate(texts)))).collect()}
+    new = regex.fullmatch(r"to (DE\d\d(?: \d{4}){4} \d\d) today", out[0])[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 and new != iban.replace(" ", "")
+    assert regex.fullmatch(r"key ghp_[0-9A-Za-z]{36} leaked", out[3]) and key not in out[3]
+    assert out[7] == texts[7] and all(out[i] != texts[i] for i in range(7))
+
+
+def test_surrogates_by_hand(spark):
+    """An independent re-statement of the draw, for secrets of digits."""
+    import hashlib
+
+    h = hashlib.sha512("\x1f".join(["k", "secret", "12345678", "0"]).encode()).hexdigest()
+    want = "".join(str(int(h[i * 2 % 126 : i * 2 % 126 + 2], 16) % 10) for i in range(8))
+    row = spark.range(1).select(P.candidate(P.F.lit("secret"), P.F.lit("12345678"), P.F.lit(0), "k").alias("s")).first()
+    assert row.s == want

@@ -15,13 +15,65 @@ def ascii_slug(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _fold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+#: Latin spellings of Cyrillic and Greek small letters, and of Latin ones that don't decompose.
+LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+    "є": "ie", "і": "i", "ї": "i", "ґ": "g", "ў": "u", "ђ": "d", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "tsh", "џ": "dzh", "ѕ": "dz",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o",
+    "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "ng",
+}
+
+
+def _speller(letters: dict[str, str]):
+    """A function from a text to its letters in Latin ones: by the table, by decomposition, by the syllable that a letter's
+    Unicode name ends in, or, for ideographs and all else, by code point, so that different names stay different. It
+    carries all it needs to other machines."""
+    kinds = ("HANGUL SYLLABLE ", "HIRAGANA LETTER SMALL ", "HIRAGANA LETTER ", "KATAKANA LETTER SMALL ", "KATAKANA LETTER ")
+    known: dict[str, str] = {}
+
+    def one(c: str) -> str:
+        if c in letters:
+            return letters[c]
+        if c.isascii():
+            return c
+        if unicodedata.combining(c) or not c.isalnum():
+            return "" if unicodedata.combining(c) else " "
+        name = unicodedata.name(c, "")
+        for kind in kinds:
+            if name.startswith(kind):
+                return name.removeprefix(kind).lower()
+        plain = unicodedata.normalize("NFKD", c)
+        if plain != c:
+            return "".join(map(one, plain))
+        return "".join(map(one, c.lower())) if c.lower() != c else f" {ord(c):x} "
+
+    def spell(text: str) -> str:
+        if text.isascii():
+            return text
+        for c in set(text) - known.keys():
+            known[c] = one(c)
+        return "".join(map(known.__getitem__, text))
+
+    return spell
+
+
+def _folder():
+    spell = _speller(LETTERS)
+
+    @F.pandas_udf(T.StringType())
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else spell(x))
+
+    return fold
+
+
+_fold = _folder()
 
 
 def unicode_slug(s: Column) -> Column:
-    """Slug after decomposing accents; letters without an ASCII base are dropped (an approximation of transliteration)."""
+    """Slug in Latin letters: accents go, other alphabets and syllables are spelled out, ideographs keep their code points."""
     return ascii_slug(_fold(s))
 
 

@@ -43,6 +43,12 @@ def in_period(year: Column, first: int, years: int = 10) -> Column:
     return (year >= first) & (year < first + years)
 
 
+def in_dates(c: Column, first: int, years: int = 10) -> Column:
+    """The same period as bounds on a timestamp without zone, which a scan can use to skip files (FLT-07)."""
+    at = lambda y: F.expr(f"TIMESTAMP_NTZ'{y:04d}-01-01 00:00:00'")
+    return (c >= at(first)) & (c < at(first + years))
+
+
 def skipped_type(primary: Column, secondary: Column) -> Column:
     """Whether a release is of a type to leave out (FLT-17)."""
     return F.coalesce(F.lower(primary).isin(*SKIPPED_TYPES), F.lit(False)) | F.coalesce(F.exists(secondary, lambda t: F.lower(t).isin(*SKIPPED_TYPES)), F.lit(False))
@@ -99,9 +105,41 @@ def previous_or_restart(rows: DataFrame, by: list[str], order: list[Column], key
     return rows.withColumn(f"previous_{key}", F.when(F.col(elapsed) > after, F.col(key)).otherwise(F.coalesce(F.lag(key).over(w), F.col(key))))
 
 
+def seeded(key: str, seed: int) -> list[Column]:
+    """A random order that the seed fixes."""
+    return [F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+
+
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """A seeded shuffle (SRT-09)."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return rows.orderBy(*seeded(key, seed))
+
+
+def running(rows: DataFrame, order: list[Column], weight: str | None = None) -> DataFrame:
+    """With _place (from 1), _n (rows) and, for a weight, _run and _whole: its running and its whole sum.
+
+    The order is dealt out by ranges, so no task sees all rows; one row a range adds up what came before it. A fixed
+    number of ranges keeps the two readers of the ranges alike. The order must be unique.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(weight) if weight else F.lit(0.0)
+    dealt = rows.withColumn("_v", value.cast("double")).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("_place", F.count("*").over(inside)).withColumn("_run", F.sum("_v").over(inside))
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("_v").alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    # as many rows as ranges
+    offsets = parts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_s0"), F.sum("_rows").over(everything).alias("_n"), F.sum("_sum").over(everything).alias("_whole"))
+    out = dealt.join(F.broadcast(offsets), "_part").withColumn("_place", F.col("_place") + F.col("_r0")).withColumn("_run", F.col("_run") + F.col("_s0"))
+    return out.drop("_part", "_r0", "_s0", "_v", *([] if weight else ["_run", "_whole"]))
+
+
+def top_share(rows: DataFrame, order: list[Column], share: float = 0.15, least: int = 20) -> DataFrame:
+    """The best share of all rows, but so many at least (WIN-06)."""
+    placed = running(rows, order)
+    return placed.where(F.col("_place") <= F.greatest(F.lit(least), F.ceil(F.col("_n") * share))).drop("_place", "_n")
 
 
 def random_row(rows: DataFrame, key: str, u: float) -> DataFrame:

@@ -5,10 +5,12 @@ Spark tables have no keys or triggers, so every write is a function from old row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from melisma.functions import dates
+from melisma.functions import dates, strings
+
 
 def classify(scanned: DataFrame, known: DataFrame, key: str = "file_path") -> DataFrame:
     """scanned (key, file_size, mtime, content_hash) with action NEW, SKIP, TOUCH or UPDATE (CDC-01).
@@ -120,6 +122,62 @@ def checkpoint_row(cursor: str, done: int, spark) -> DataFrame:
     return spark.range(1).select(F.lit("main").alias("id"), F.lit(cursor).alias("cursor"), F.lit(done).cast("long").alias("done"))
 
 
+class Checkpoint:
+    """Where a run stands, kept in a folder that all machines see (CDC-02). Saves add a version; the newest one counts."""
+
+    SCHEMA = "id string, cursor string, done long, version long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def rows(self) -> DataFrame:
+        """All versions; none where nothing was saved or all was cleared."""
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def save(self, state: DataFrame) -> None:
+        """state: one row of cursor and done, written by the executors; no value passes through the driver."""
+        last = self.rows().agg(F.coalesce(F.max("version"), F.lit(0)).alias("last"))
+        row = state.select(F.lit("main").alias("id"), F.col("cursor").cast("string").alias("cursor"), F.col("done").cast("long").alias("done"))
+        row.crossJoin(F.broadcast(last)).select("id", "cursor", "done", (F.col("last") + 1).cast("long").alias("version")).write.mode("append").parquet(self.folder)
+
+    def load(self) -> DataFrame:
+        """id, cursor, done of the newest version, or no row."""
+        newest = self.rows().groupBy("id").agg(F.max_by(F.struct("cursor", "done"), "version").alias("s"))
+        return newest.select("id", "s.cursor", "s.done")
+
+    def clear(self) -> None:
+        """Forget all: an empty version replaces the folder."""
+        self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self.folder)
+
+
+def create_playlists(existing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(playlists, rejects) after new ones by name: a slug that is taken, or wanted twice, is refused but for the first
+    name in order (SNK-19). existing: slug, name; wanted: name."""
+    named = wanted.select(strings.ascii_slug(F.col("name")).alias("slug"), "name")
+    new = named.where("slug <> ''").groupBy("slug").agg(F.min("name").alias("name")).join(existing.select("slug"), "slug", "left_anti")
+    refused = named.join(new, ["slug", "name"], "left_anti").select(F.lit("playlist").alias("source"), F.concat(F.lit("slug taken: "), "slug").alias("message"))
+    return existing.select("slug", "name").unionByName(new), refused
+
+
+def delete_playlists(playlists: DataFrame, entries: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(playlists, entries) without the doomed slugs (SNK-19)."""
+    gone = doomed.select("slug").distinct()
+    return playlists.join(gone, "slug", "left_anti"), entries.join(gone, "slug", "left_anti")
+
+
+def add_entries(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Entries with new tracks behind each playlist's last position, in the order given; a track that is already there
+    stays where it is (SNK-19). entries: slug, track_id, position; tracks: slug, track_id, n."""
+    first = tracks.groupBy("slug", "track_id").agg(F.min("n").alias("n")).join(entries.select("slug", "track_id"), ["slug", "track_id"], "left_anti")
+    top = entries.groupBy("slug").agg(F.max("position").alias("top"))
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("n", "track_id"))
+    new = first.withColumn("place", place).join(top, "slug", "left")
+    return entries.unionByName(new.select("slug", "track_id", (F.coalesce("top", F.lit(-1)) + F.col("place")).cast("long").alias("position")))
+
+
 class Pace:
     """The wait between requests to an outside service (CDC-03): shorter after a success, twice as long when refused."""
 

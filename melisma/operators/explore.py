@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from melisma.functions import maths, strings
+from melisma.operators import browse
 
 #: Energy of a genre, 0 to 100.
 GENRE_ENERGY = {
@@ -141,23 +142,19 @@ def candidates(tracks: DataFrame, era: int, familiarity: int, exclude: list[str]
 
 def sampled(rows: DataFrame, key: str, n: int = 500, seed: int = 0) -> DataFrame:
     """A seeded random sample of n rows (SRT-10): the rows with the least keyed hashes."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(*browse.seeded(key, seed)).limit(n)
 
 
 def weighted_pick(rows: DataFrame, key: str, u: float, share: float = 0.15, least: int = 20) -> DataFrame:
     """One row of the best rows, with a chance by the square of its score (WIN-06, WIN-07). u: a draw from [0, 1).
 
-    Meant for a sample of bounded size: the window has no partitions.
+    Scores count to nine decimals, so that no order hangs on rounding. Any number of rows: the running sum goes by
+    ranges of the order.
     """
-    w = Window.orderBy(F.desc("score"), F.asc(key))
-    best = rows.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    best = best.where(F.col("_r") <= F.greatest(F.lit(least), F.ceil(F.col("_n") * share)))
-    weight = F.col("score") * F.col("score")
-    run = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    whole = Window.partitionBy()
-    best = best.withColumn("_c", run).withColumn("_t", F.sum(weight).over(whole)).withColumn("_k", F.count("*").over(whole))
-    hit = F.when(F.col("_t") > 0, F.col("_c") >= F.col("_t") * u).otherwise(F.col("_r") >= F.floor(F.col("_k") * u) + 1)
-    return best.where(hit).orderBy("_r").limit(1).drop("_r", "_n", "_c", "_t", "_k")
+    best = browse.top_share(rows.withColumn("score", F.round("score", 9)), [F.desc("score"), F.asc(key)], share, least)
+    run = browse.running(best.withColumn("_w", F.col("score") * F.col("score")), [F.desc("score"), F.asc(key)], "_w")
+    hit = F.when(F.col("_whole") > 0, F.col("_run") >= F.col("_whole") * u).otherwise(F.col("_place") >= F.floor(F.col("_n") * u) + 1)
+    return run.where(hit).orderBy("_place").limit(1).drop("_w", "_run", "_whole", "_place", "_n")
 
 
 def pick(tracks: DataFrame, energy: int, era: int, familiarity: int, sound: int, u: float, exclude: list[str] | None = None, seed: int = 0, most: int = 500) -> DataFrame:

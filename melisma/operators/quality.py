@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melisma.functions import maps, strings
+from melisma.operators import browse
 
 #: For each field its tags, any of which will do.
 FIELD_TAGS = {
@@ -123,6 +124,6 @@ def ok_files(total: Column, errors: Column, with_issues: Column) -> Column:
 
 
 def report_pages(artists: DataFrame, name: str = "artist", per_page: int = PAGE_ARTISTS) -> DataFrame:
-    """Distinct names with their page (WIN-05). The window orders distinct names only."""
-    rank = F.row_number().over(Window.orderBy(name)) - 1
-    return artists.select(name).distinct().withColumn("page", (F.floor(rank / per_page) + 1).cast("long"))
+    """Distinct names with their page (WIN-05)."""
+    placed = browse.running(artists.select(name).distinct(), [F.asc(name)])
+    return placed.select(name, (F.floor((F.col("_place") - 1) / per_page) + 1).cast("long").alias("page"))

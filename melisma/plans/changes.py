@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from melisma.functions import strings
 from melisma.operators import changes
 from melisma.plans.registry import query, table
 from melisma.sources import rest
+from melisma.sources.folders import work_folder
 
 
 def _scan(spark, d):
@@ -26,10 +28,18 @@ def cdc01_classify(spark, d):
     return changes.classify(*_scan(spark, d)).select("file_path", "action")
 
 
-@query("SELECT 'main' AS id, max(lower(c_name)) AS cursor, count(*) AS done FROM customer")
+@query("SELECT 'main' AS id, max(lower(c_name)) AS cursor, count(*) AS done, 0 AS left_behind FROM customer")
 def cdc02_checkpoint(spark, d):
-    row = table(spark, d, "customer").agg(F.max(F.lower("c_name")).alias("c"), F.count("*").alias("n")).first()
-    return changes.checkpoint_row(row.c, row.n, spark)
+    """Two saves, of which the second counts; another checkpoint is cleared and loads as nothing."""
+    c, top = table(spark, d, "customer"), work_folder(spark)
+    state = lambda rows: rows.agg(F.max(F.lower("c_name")).alias("cursor"), F.count("*").alias("done"))
+    kept, cleared = changes.Checkpoint(spark, f"{top}/kept"), changes.Checkpoint(spark, f"{top}/cleared")
+    for at in (kept, cleared):
+        at.save(state(c.where("c_custkey % 2 = 0")))
+    kept.save(state(c))
+    cleared.clear()
+    left = cleared.load().agg(F.count("*").alias("left_behind"))
+    return kept.load().crossJoin(F.broadcast(left))
 
 
 @query(f"SELECT {_ACTION} AS action, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1")
@@ -140,6 +150,37 @@ def snk18_favourite(spark, d):
     return changes.get_or_create(have, add.unionByName(have.limit(3)), ["doc_id"])
 
 
+@query("""SELECT slug, min(name) AS name FROM (SELECT lower(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-')) AS slug, p_brand AS name, 0 AS new FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), name, 1 FROM (SELECT p_type AS name FROM part UNION SELECT upper(p_brand) FROM part)) WHERE new = 0 OR slug NOT IN (SELECT trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') FROM part WHERE p_partkey % 2 = 0) GROUP BY 1""")
+def snk19_playlist_create(spark, d):
+    p = table(spark, d, "part")
+    have = p.where("p_partkey % 2 = 0").select(strings.ascii_slug(F.col("p_brand")).alias("slug"), F.col("p_brand").alias("name")).distinct()
+    want = p.select(F.col("p_type").alias("name")).unionByName(p.select(F.upper("p_brand").alias("name"))).distinct()
+    return changes.create_playlists(have, want)[0]
+
+
+@query("SELECT 'c' || conv_id AS slug, count(*) AS entries FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1")
+def snk19_playlist_delete(spark, d):
+    t = table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("slug"), "conv_id")
+    lists = t.distinct()
+    left, entries = changes.delete_playlists(lists, t, lists.where("conv_id % 3 = 0"))
+    return entries.join(left.select("slug"), "slug", "left_semi").groupBy("slug").agg(F.count("*").alias("entries"))
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations),
+e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM t WHERE turn < 2),
+n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM t WHERE turn >= 2)
+SELECT 'c' || conv_id AS slug, turn AS track_id, position FROM e UNION ALL
+SELECT 'c' || n.conv_id, turn, coalesce(top, -1) + place FROM n LEFT JOIN (SELECT conv_id, max(position) AS top FROM e GROUP BY 1) USING (conv_id)""")
+def snk19_playlist_add(spark, d):
+    from pyspark.sql import Window
+
+    t = table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("slug"), F.col("turn").alias("track_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("track_id"))
+    have = t.where("track_id < 2").withColumn("position", (place - 1).cast("long"))
+    return changes.add_entries(have, t.withColumn("n", F.col("track_id")))
+
+
 @query("SELECT conv_id, count(*) AS entries FROM conversations WHERE turn <> 1 GROUP BY 1")
 def snk19_playlist_remove(spark, d):
     t = table(spark, d, "conversations")

@@ -11,15 +11,15 @@ from melisma.plans.texts import _NORM
 
 
 def _tag():
-    """A name tag with every kind of delimiter, from words of a document."""
-    w = F.split("text", " ")
-    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
+    """A name tag with every kind of delimiter around whole texts."""
+    t, a, b = F.col("text"), F.coalesce("source", F.lit("x")), F.coalesce("lang", F.lit("x"))
     n = F.col("doc_id") % 6
-    return F.when(n == 0, F.concat(at(0), F.lit(" feat. "), at(1))).when(n == 1, F.concat(at(0), F.lit("/"), at(1), F.lit(";"), at(0))).when(n == 2, F.concat(at(0), F.lit(" (ft "), at(1), F.lit(")"))).when(n == 3, F.concat(at(0), F.lit(" // "), at(1), F.lit("|"), at(2))).when(n == 4, F.concat(at(0), F.lit(" & "), at(1))).otherwise(F.lit("Various Artists"))
+    out = F.when(n == 0, F.concat(t, F.lit(" feat. "), a)).when(n == 1, F.concat(a, F.lit("/"), t, F.lit(";"), a)).when(n == 2, F.concat(t, F.lit(" (ft "), a, F.lit(")")))
+    return out.when(n == 3, F.concat(a, F.lit(" // "), t, F.lit("|"), b)).when(n == 4, F.concat(t, F.lit(" & "), b)).otherwise(F.concat(F.lit("Various Artists; "), t, F.lit(" / VA")))
 
 
-_TAG = """(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN a || ' feat. ' || b WHEN 1 THEN a || '/' || b || ';' || a WHEN 2 THEN a || ' (ft ' || b || ')' WHEN 3 THEN a || ' // ' || b || '|' || c WHEN 4 THEN a || ' & ' || b ELSE 'Various Artists' END AS tag
-FROM (SELECT doc_id, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))"""
+_TAG = """(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN t || ' feat. ' || a WHEN 1 THEN a || '/' || t || ';' || a WHEN 2 THEN t || ' (ft ' || a || ')' WHEN 3 THEN a || ' // ' || t || '|' || b WHEN 4 THEN t || ' & ' || b ELSE 'Various Artists; ' || t || ' / VA' END AS tag
+FROM (SELECT doc_id, text AS t, coalesce(source, 'x') AS a, coalesce(lang, 'x') AS b FROM documents))"""
 _PIECES = r"list_filter(list_transform(string_split_regex(regexp_replace({}, ',([^\s0-9])', chr(1) || '\1', 'g'), '//|\\\\|\|\||[/;\\|' || chr(1) || ']'), lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN ('various artists', 'various', 'va'))"
 _DIST = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
 
@@ -132,18 +132,32 @@ _E = "CASE n % 5 WHEN 0 THEN 37.5 WHEN 1 THEN 82.5 WHEN 3 THEN 55 WHEN 4 THEN 37
 _S = "CASE n % 5 WHEN 0 THEN 57.5 WHEN 1 THEN 57.5 WHEN 3 THEN 40 WHEN 4 THEN 62.5 END"
 
 
-@query(f"""WITH t AS (SELECT p_partkey AS n, n::VARCHAR AS id, n % 3 = 0 AS m, {_E}::DOUBLE AS e, {_S}::DOUBLE AS s, CASE WHEN n % 7 <> 0 THEN 1960 + n % 65 END AS y, n % 30 AS p FROM part),
+def _scored(source: str) -> str:
+    """Tracks and their scores for the sliders 5, 3, 4, 6, as SQL."""
+    return f"""(WITH t AS (SELECT n, n::VARCHAR AS id, n % 3 = 0 AS m, {_E}::DOUBLE AS e, {_S}::DOUBLE AS s, CASE WHEN n % 7 <> 0 THEN 1960 + n % 65 END AS y, n % 30 AS p FROM {source}),
 a AS (SELECT *, CASE WHEN e IS NULL THEN 0.5 ELSE greatest(0, 1 - abs(e - 500.0 / 9) / 60) END AS g, CASE WHEN e IS NULL THEN 0.5 ELSE 0.75 END AS c, 60 + n % 120 AS bpm FROM t),
 b AS (SELECT *, CASE WHEN bpm BETWEEN 95 AND 130 THEN 1 WHEN (CASE WHEN bpm < 95 THEN 95 - bpm ELSE bpm - 130 END) <= 15 THEN 0.5 ELSE greatest(0, 1 - (CASE WHEN bpm < 95 THEN 95 - bpm ELSE bpm - 130 END) / 50.0) END AS t1,
   ((1 - 0.70) + (1 - 0.60) + (1 - abs(n % 100 - 65) / 100.0) + (1 - 0.05)) / 4 AS t2 FROM a)
-SELECT id, round(0.4 * CASE WHEN m THEN t1 * 0.5 + t2 * 0.5 ELSE g * c END
+SELECT id, 0.4 * CASE WHEN m THEN t1 * 0.5 + t2 * 0.5 ELSE g * c END
  + 0.2 * CASE WHEN y IS NULL THEN 0.5 WHEN y BETWEEN 1990 AND 1999 THEN 1 WHEN least(abs(y - 1990), abs(y - 1999)) <= 5 THEN 0.6 WHEN least(abs(y - 1990), abs(y - 1999)) <= 10 THEN 0.3 ELSE 0 END
  + 0.2 * (1 - abs(4 / 9.0 - (1 - least(p / 20.0, 1))))
- + 0.2 * CASE WHEN m THEN 1 - (abs(n % 90 - 25) / 100.0 + abs(40 - 65) / 100.0) / 2 WHEN s IS NULL THEN 0.25 ELSE greatest(0, 1 - abs(s - 600.0 / 9) / 60) * 0.75 END, 6) AS score FROM b""")
+ + 0.2 * CASE WHEN m THEN 1 - (abs(n % 90 - 25) / 100.0 + abs(40 - 65) / 100.0) / 2 WHEN s IS NULL THEN 0.25 ELSE greatest(0, 1 - abs(s - 600.0 / 9) / 60) * 0.75 END AS score FROM b)"""
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM {_scored('(SELECT p_partkey AS n FROM part)')}")
 def exp01_score(spark, d):
     return explore.scored(_tracks(spark, d), 5, 3, 4, 6).select("id", F.round("score", 6).alias("score"))
 
 
+def _picked(u: float, without: str) -> str:
+    """One draw from the sample of 500 candidates, as SQL; scores that differ by rounding alone count as equal."""
+    pool = f"""(SELECT p_partkey AS n FROM part WHERE (p_partkey % 7 = 0 OR 1960 + p_partkey % 65 BETWEEN 1980 AND 2009) AND p_partkey::VARCHAR NOT IN ({without}) ORDER BY md5(p_partkey || '|1'), p_partkey::VARCHAR LIMIT 500)"""
+    return f"""(WITH a AS (SELECT id, round(score, 9) AS score FROM {_scored(pool)}),
+b AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r, count(*) OVER () AS n FROM a),
+c AS (SELECT *, sum(score * score) OVER (ORDER BY r) AS c, sum(score * score) OVER () AS t FROM b WHERE r <= greatest(20, ceil(0.15 * n)))
+SELECT id, score FROM c WHERE c >= {u} * t ORDER BY r LIMIT 1)"""
+
+
 @query(f"SELECT p_partkey::VARCHAR AS id, coalesce({_E}, -1)::DOUBLE AS energy, coalesce({_S}, -1)::DOUBLE AS sound FROM (SELECT p_partkey, p_partkey AS n FROM part)")
 def exp02_genre_lookup(spark, d):
     g = F.col("genre")
@@ -161,9 +175,9 @@ def exp05_familiarity(spark, d):
     return p.select("user_id", F.round(explore.familiarity_score(F.col("n"), 5), 6).alias("score"), explore.familiarity_score(F.col("n"), 9).alias("unheard"))
 
 
-@query()
+@query(f"""SELECT id, round(score, 6) AS score FROM {_picked(0.5, "'3', '9'")}""")
 def exp08_pick(spark, d):
-    return explore.pick(_tracks(spark, d), 5, 3, 4, 6, 0.5, exclude=["3", "9"], seed=1).select("id", "score")
+    return explore.pick(_tracks(spark, d), 5, 3, 4, 6, 0.5, exclude=["3", "9"], seed=1).select("id", F.round("score", 6).alias("score"))
 
 
 def _files(spark, d):

@@ -231,7 +231,7 @@ def srt04_last_played(spark, d):
 ORDER BY year(o_orderdate), o_orderkey LIMIT 48 OFFSET 48""")
 def srt05_timeline_page(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    rows = o.where(browse.in_period(F.year("o_orderdate"), 1990)).join(c, o.o_custkey == c.c_custkey)
+    rows = o.where(browse.in_dates(F.col("o_orderdate"), 1990)).join(c, o.o_custkey == c.c_custkey)
     return browse.page(rows, [F.year("o_orderdate").asc(), F.asc("o_orderkey")], 2).select("o_orderkey", "c_name")
 
 
@@ -250,12 +250,13 @@ def srt08_random_row(spark, d):
     return browse.random_row(table(spark, d, "orders"), "o_orderkey", 0.37).select("o_orderkey")
 
 
-@query()
+@query("SELECT p_partkey, row_number() OVER (ORDER BY md5(p_partkey || '|7'), p_partkey) AS place FROM part")
 def srt09_shuffle(spark, d):
-    return browse.shuffled(table(spark, d, "part"), "p_partkey", 7).select("p_partkey")
+    placed = browse.running(table(spark, d, "part").select("p_partkey"), browse.seeded("p_partkey", 7))
+    return placed.select("p_partkey", F.col("_place").alias("place"))
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '|3'), o_orderkey LIMIT 500")
 def srt10_sample(spark, d):
     return explore.sampled(table(spark, d, "orders"), "o_orderkey", 500, 3).select("o_orderkey")
 

@@ -35,23 +35,18 @@ def win05_report_pages(spark, d):
     return quality.report_pages(table(spark, d, "part").select(F.col("p_name").alias("artist")))
 
 
-@query("""SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 500))
+@query("""SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part)
 WHERE r <= greatest(20, ceil(0.15 * n))""")
 def win06_top15pct(spark, d):
-    from pyspark.sql import Window
-
-    pool = table(spark, d, "part").orderBy("p_partkey").limit(500)
-    rank = F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey"))
-    rows = pool.select("p_partkey", rank.alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return rows.where(F.col("r") <= F.greatest(F.lit(20), F.ceil(F.col("n") * 0.15))).select("p_partkey")
+    return browse.top_share(table(spark, d, "part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.asc("p_partkey")]).select("p_partkey")
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_size / 50.0 AS score FROM part ORDER BY p_partkey LIMIT 500),
+@query("""WITH a AS (SELECT p_partkey AS id, round(p_size / 50.0, 9) AS score FROM part),
 b AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r, count(*) OVER () AS n FROM a),
 c AS (SELECT *, sum(score * score) OVER (ORDER BY r) AS c, sum(score * score) OVER () AS t FROM b WHERE r <= greatest(20, ceil(0.15 * n)))
 SELECT id FROM c WHERE c >= 0.4321 * t ORDER BY r LIMIT 1""")
 def win07_weighted_pick(spark, d):
-    rows = table(spark, d, "part").orderBy("p_partkey").limit(500).select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("score"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("score"))
     return explore.weighted_pick(rows, "id", 0.4321).select("id")
 
 

@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import functions as F
 
 from melisma.functions import dates, maps, strings
-from melisma.operators import changes, explore, matching, quality
-from melisma.plans.domain import _E, _S, _files, _tracks
+from melisma.operators import browse, changes, explore, matching, quality
+from melisma.plans.domain import _E, _S, _files, _picked, _tracks
 from melisma.plans.registry import query, table
 from melisma.plans.streams import _messages
 from melisma.sources import files, rest, snapshots
+from melisma.sources.folders import work_folder
 from melisma.streaming import plays, sessions
 
 
-def _folder(spark) -> str:
-    """A new folder where the cluster keeps its checkpoints; a temporary one where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="melisma-")
-    return f"{top.rstrip('/')}/plans/{uuid.uuid4().hex}"
+def _library(spark, d) -> str:
+    """A folder of small files, one a nation under its region, some of them audio by name."""
+    top = work_folder(spark)
+    rows = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("mp3", "FLAC", "txt", "ogg", "jpg")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    named = rows.select(F.concat(F.lit(f"{top}/"), "r_name", F.lit("/CD "), (F.col("n_nationkey") % 2).cast("string"), F.lit("/"), "n_name", F.lit("."), ext).alias("path"), F.concat(F.lit("tag:"), "n_name").cast("binary").alias("body"))
+
+    def write(batches):
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for b in batches:
+            for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                store, name = fs.FileSystem.from_uri(quote(re.sub("^(?:file:)?/+", "file:///", path), safe="/:@"))
+                store.create_dir(name.rsplit("/", 1)[0])
+                with store.open_output_stream(name) as f:
+                    f.write(body)
+            yield b.select(["path"])
+
+    named.mapInArrow(write, "path string").count()
+    return top
+
+
+_LIBRARY = "(SELECT r_name AS folder, r_name || '/CD ' || n_nationkey % 2 || '/' || n_name || '.' || ['mp3', 'FLAC', 'txt', 'ogg', 'jpg'][n_nationkey % 5 + 1] AS path, n_nationkey % 5 AS k, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"SELECT path, strlen(n_name) + 4 AS file_size FROM {_LIBRARY} WHERE k IN (0, 1, 3)")
+def src01_scan(spark, d):
+    return files.audio_files(spark, _library(spark, d)).select("path", "file_size")
+
+
+@query(f"SELECT path, row_number() OVER (ORDER BY path) AS place FROM {_LIBRARY} WHERE k IN (0, 1, 3) AND lower(folder) >= 'am' AND lower(folder) <= 'eur' || chr(1114111) AND lower(folder) > 'america'")
+def src02_sorted_scan(spark, d):
+    found = files.audio_files(spark, _library(spark, d), lo="Am", hi="EUR", after="america")
+    return browse.running(found, [F.asc("path")]).select("path", F.col("_place").alias("place"))
+
+
+@query(f"SELECT path, substr('tag:' || n_name, 3, 4) AS part FROM {_LIBRARY}")
+def src13_byte_range(spark, d):
+    top = _library(spark, d)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).select("path")
+    part = files.byte_range(found, 2, 5)
+    return part.select(F.regexp_extract("path", "([^/]+/[^/]+/[^/]+)$", 1).alias("path"), F.decode("part", "utf-8").alias("part"))
 
 
 def _entries(spark, d):
@@ -40,11 +80,13 @@ def src04_track_meta(spark, d):
     return m.select("doc_id", "title", "track_number", "year", F.col("metadata")["MOOD_SAD"].alias("mood"), "content_hash")
 
 
-@query("SELECT unnest(range(0, 250))::BIGINT AS id")
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
 def src07_pages(spark, d):
-    store = list(range(250))
-    got = [x for page in rest.pages(lambda n, o: (store[o : o + n], len(store)), 100) for x in page]
-    return spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in got])).alias("id"))
+    """The nations behind a paged service: each page is one request with limit and offset."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name")
+    total = rows.count()
+    fetch = lambda n, o: (rows.orderBy("n_nationkey").offset(o).limit(n).collect(), total)
+    return spark.createDataFrame([tuple(r) for page in rest.pages(fetch, 10) for r in page], rows.schema).toDF("id", "name")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'u' || event_id END IS NULL AS none, coalesce(CASE WHEN event_id % 4 <> 0 THEN 'u' || event_id END, '') AS thumbnail FROM events")
@@ -56,28 +98,28 @@ def src10_thumbnail(spark, d):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def src12_restore(spark, d):
-    top = _folder(spark)
+    top = work_folder(spark)
     snapshots.dump({"nation": table(spark, d, "nation")}, top, "20240101_000000")
     return snapshots.restore(spark, top)["nation"]
 
 
 @query("SELECT 'region' AS part, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
 def snk15_dump(spark, d):
-    at = snapshots.dump({t: table(spark, d, t) for t in ("region", "nation")}, _folder(spark), "20240101_000000")
+    at = snapshots.dump({t: table(spark, d, t) for t in ("region", "nation")}, work_folder(spark), "20240101_000000")
     n = lambda t: spark.read.parquet(f"{at}/{t}").groupBy().agg(F.count("*").alias("n")).select(F.lit(t).alias("part"), "n")
     return n("region").unionByName(n("nation"))
 
 
 @query("SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1")
 def snk16_report(spark, d):
-    top = _folder(spark)
+    top = work_folder(spark)
     snapshots.report(top, brands=table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n")))
     return spark.read.schema("brand string, n long").json(f"{top}/brands")
 
 
 @query("SELECT 'index' AS source, 'no tracks: ' || o_orderkey AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'sync', 'failed: ' || s_suppkey FROM supplier WHERE s_acctbal < 0")
 def snk17_error_log(spark, d):
-    top, o = _folder(spark), table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    top, o = work_folder(spark), table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     bare = o.join(table(spark, d, "lineitem"), "l_orderkey", "left_anti")
     snapshots.append_errors(bare.select(F.lit("index").alias("source"), F.concat(F.lit("no tracks: "), F.col("l_orderkey").cast("string")).alias("message")), top)
     bad = changes.rejects(table(spark, d, "supplier"), F.col("s_acctbal") < 0, "sync", F.concat(F.lit("failed: "), F.col("s_suppkey").cast("string")))[1]
@@ -114,15 +156,19 @@ def map02_priority(spark, d):
     return m.select("doc_id", maps.first_value(F.col("tags"), "GENRE", "ALBUM", "TITLE").alias("first"))
 
 
-@query("SELECT doc_id, true AS genre, false AS album FROM documents")
+@query("SELECT doc_id, doc_id % 3 = 0 AS genre, doc_id % 2 = 0 AS album FROM documents")
 def map03_has_key(spark, d):
-    m = files.tag_map(_entries(spark, d))
+    k = F.col("doc_id")
+    pair = lambda name, test: F.struct(F.when(test, name).otherwise("other").alias("key"), F.lit(" ").alias("value"))
+    m = files.tag_map(table(spark, d, "documents").select("doc_id", F.array(pair("Genre", k % 3 == 0), pair("ALBUM", k % 2 == 0)).alias("entries")))
     return m.select("doc_id", maps.has_key(F.col("tags"), "genre").alias("genre"), maps.has_key(F.col("tags"), "album").alias("album"))
 
 
-@query("SELECT doc_id, 'MOOD_SAD' AS keys FROM documents")
+@query("SELECT doc_id, 'LANG_' || coalesce(upper(lang), '') || CASE WHEN n_chars > 500 THEN ',MOOD_SAD' ELSE '' END AS keys FROM documents")
 def map05_other_tags(spark, d):
-    m = files.tag_map(_entries(spark, d))
+    pair = lambda k, v: F.struct(k.alias("key"), v.cast("string").alias("value"))
+    own = F.array(pair(F.lit("title"), F.col("source")), pair(F.lit("mood_sad"), F.when(F.col("n_chars") > 500, F.col("n_chars"))), pair(F.concat(F.lit("lang_"), F.coalesce("lang", F.lit(""))), F.lit("1")), pair(F.lit("blank"), F.lit(" ")))
+    m = files.tag_map(table(spark, d, "documents").select("doc_id", own.alias("entries")))
     return m.select("doc_id", F.array_join(F.array_sort(F.map_keys(maps.other_tags(F.col("tags")))), ",").alias("keys"))
 
 
@@ -186,7 +232,8 @@ def stm07_broadcast(spark, d):
     return plays.drained(stream.where("event_type = 'view'").select("event_id", "user_id"), "append")
 
 
-@query()
+@query(f"""WITH a AS (SELECT 0 AS place, id FROM {_picked(0.1, "''")}), b AS (SELECT 1 AS place, id FROM {_picked(0.5, "SELECT id FROM a")}),
+c AS (SELECT 2 AS place, id FROM {_picked(0.9, "SELECT id FROM a UNION ALL SELECT id FROM b")}) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def stm11_auto_advance(spark, d):
     """Three draws in a row, each without what was drawn before."""
     tracks, seen = _tracks(spark, d), []

@@ -8,10 +8,11 @@ from melisma.plans.registry import query, table
 from melisma.streaming import plays, sessions
 
 
-@query("SELECT user_id, count(*) AS plays, max(ts) AS last_played FROM events GROUP BY 1")
+@query("""SELECT kind, id, count(*) AS plays, max(ts) AS last_played FROM (SELECT 'track' AS kind, event_id % 500 AS id, ts FROM events UNION ALL SELECT 'release', (event_id % 500) // 12, ts FROM events) GROUP BY 1, 2""")
 def stm01_play_counts(spark, d):
     stream = plays.events(spark, d, "events.parquet", table(spark, d, "events").schema)
-    return plays.drained(plays.play_counts(stream, "user_id"))
+    track = F.col("event_id") % 500
+    return plays.drained(plays.play_totals(stream.select(track.alias("track_id"), F.floor(track / 12).alias("release_id"), "ts")))
 
 
 def _messages(spark, d):
@@ -28,12 +29,19 @@ def stm04_listeners(spark, d):
     return sessions.replay(_messages(spark, d)).select("session_id", "seq", "listeners")
 
 
-@query()
+#: The state after each turn, as SQL: the first turn creates the session and nothing ends it.
+_STATES = """(SELECT 's' || conv_id AS session_id, turn AS seq, true AS active, last_value(CASE WHEN k = 1 THEN text END IGNORE NULLS) OVER w AS track,
+ coalesce(last_value(CASE WHEN k IN (1, 4) THEN true WHEN k = 2 THEN false END IGNORE NULLS) OVER w, false) AS playing,
+ coalesce(last_value(CASE WHEN k BETWEEN 1 AND 4 THEN turn END IGNORE NULLS) OVER w, 0)::DOUBLE AS position, count(CASE WHEN k = 0 AND turn > 0 THEN 1 END) OVER w::INTEGER AS listeners
+FROM (SELECT conv_id, turn, min(text) AS text, CASE WHEN turn = 0 THEN -1 ELSE turn % 6 END AS k FROM conversations GROUP BY 1, 2) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+@query(f"SELECT * FROM {_STATES}")
 def stm03_session_state(spark, d):
     return sessions.replay(_messages(spark, d))
 
 
-@query()
+@query(f"SELECT * EXCLUDE (seq, r) FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM {_STATES}) WHERE r = 1")
 def stm06_status(spark, d):
     return sessions.status(sessions.replay(_messages(spark, d)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from melisma.functions import dates, strings
-from melisma.operators import changes
+from melisma.operators import browse, changes
 from melisma.plans.registry import query, table
 
 
@@ -46,7 +46,7 @@ def agg04_sync_statistics(spark, d):
 @query("SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1990 AND year(o_orderdate) < 2000 GROUP BY 1 ORDER BY 1")
 def agg05_years_in_decade(spark, d):
     y = F.year("o_orderdate").cast("long")
-    return table(spark, d, "orders").select(y.alias("year")).where((F.col("year") >= 1990) & (F.col("year") < 2000)).groupBy("year").agg(F.count("*").alias("n")).orderBy("year")
+    return table(spark, d, "orders").where(browse.in_dates(F.col("o_orderdate"), 1990)).select(y.alias("year")).groupBy("year").agg(F.count("*").alias("n")).orderBy("year")
 
 
 @query("SELECT (floor(year(o_orderdate) / 10) * 10)::BIGINT AS decade, count(*) AS n FROM orders WHERE year(o_orderdate) <> 0 GROUP BY 1 ORDER BY 1 DESC")
@@ -63,7 +63,7 @@ def agg07_genre_counts(spark, d):
 
 @query("SELECT count(*) AS total FROM orders WHERE year(o_orderdate) >= 1990 AND year(o_orderdate) < 2000")
 def agg08_total(spark, d):
-    return table(spark, d, "orders").where(F.year("o_orderdate").between(1990, 1999)).agg(F.count("*").alias("total"))
+    return table(spark, d, "orders").where(browse.in_dates(F.col("o_orderdate"), 1990)).agg(F.count("*").alias("total"))
 
 
 @query("SELECT p_type, count(*) AS n, min(p_partkey) AS first_seen FROM part GROUP BY 1 ORDER BY 3")

@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melisma.functions import maps, strings
-from melisma.operators import browse
 
 #: Extensions of audio files.
 AUDIO = ("mp3", "m4a", "opus", "aac", "ogg", "flac")
 
 
+def _children(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(name, path) of what stands directly in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return [(s.getPath().getName(), s.getPath().toString()) for s in found]
+
+
 def audio_files(spark: SparkSession, root: str, only: str | None = None, lo: str | None = None, hi: str | None = None, after: str | None = None, limit: int | None = None) -> DataFrame:
     """path, file_size, mtime of the audio files under a folder, by path (SRC-01, SRC-02).
 
-    only, lo, hi narrow the first folder's name; after resumes behind a folder (FLT-20). The contents aren't read.
+    only, lo, hi narrow the first folder's name; after resumes behind a folder (FLT-20). Only folders that pass are
+    listed at all, and the contents aren't read.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"))
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.withColumn("path", strings.relative_path(plain, root)).where(F.lower(strings.extension(F.col("path"))).isin(*AUDIO))
-    folder = strings.first_folder(F.col("path"))
-    rows = rows.where(browse.name_range(folder, only, lo, hi))
-    if after is not None:
-        rows = rows.where(F.lower(folder) > after.lower())
+    roots = [root]
+    if only or lo is not None or hi is not None or after is not None:
+        names = [(n.lower(), p) for n, p in _children(spark, root)]
+        inside = lambda n: n.startswith(only.lower()) if only else (lo is None or n >= lo.lower()) and (hi is None or n <= hi.lower() + "\U0010ffff")
+        roots = [p for n, p in names if inside(n) and (after is None or n > after.lower())]
+        if not roots:
+            return spark.createDataFrame([], "path string, file_size long, mtime timestamp")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"))
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    top = "/" + root.removeprefix("file:").lstrip("/") if root.startswith(("file:", "/")) else root
+    rows = found.withColumn("path", strings.relative_path(plain("path"), top)).where(F.lower(strings.extension(F.col("path"))).isin(*AUDIO))
     rows = rows.orderBy("path")
     return rows if limit is None else rows.limit(limit)
 
@@ -64,6 +79,22 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out.where("n > 0")
 
 
-def byte_range(files: DataFrame, start: int, end: int) -> DataFrame:
-    """path and the bytes start to end, both included, of binary files (SRC-13)."""
-    return files.select("path", F.substring("content", start + 1, end - start + 1).alias("part"))
+def byte_range(files: DataFrame, start: int, end: int, path: str = "path") -> DataFrame:
+    """path and the bytes start to end, both included, of files (SRC-13). Only these bytes are read, by the executors; a
+    file that ends before gives what it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for b in batches:
+            parts = []
+            for uri in b.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(quote(re.sub("^(?:file:)?/+", "file:///", uri), safe="/:@"))
+                with store.open_input_file(name) as f:
+                    f.seek(min(start, f.size()))
+                    parts.append(f.read(max(0, end - start + 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], names=["path", "part"])
+
+    return files.select(F.col(path).alias("path")).mapInArrow(run, "path string, part binary")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from melisma.sources.folders import work_folder
+
 
 def events(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     """Files of a folder that match a name, as a stream."""
@@ -19,11 +18,20 @@ def play_counts(plays: DataFrame, key: str) -> DataFrame:
     return plays.groupBy(key).agg(F.count("*").alias("plays"), F.max("ts").alias("last_played"))
 
 
+def play_totals(plays: DataFrame) -> DataFrame:
+    """kind, id, plays, last_played of tracks and of their releases (STM-01): a play counts for both, in one pass.
+
+    plays: track_id, release_id (null for a loose track), ts.
+    """
+    of = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
+    both = plays.select("ts", F.explode(F.array(of("track", "track_id"), of("release", "release_id"))).alias("k")).select("k.kind", "k.id", "ts")
+    return both.where("id is not null").groupBy("kind", "id").agg(F.count("*").alias("plays"), F.max("ts").alias("last_played"))
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now and return what it last wrote."""
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="melisma-stream-")
-    at = f"{top.rstrip('/')}/stream/{uuid.uuid4().hex}"
+    at = work_folder(spark, "stream")
     write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Messages with an effect on a session, and those that only pass between peers.
@@ -61,12 +61,36 @@ def _run(s: Session, rows: pd.DataFrame, key: str) -> tuple[Session, pd.DataFram
 
 
 def replay(messages: DataFrame) -> DataFrame:
-    """The state after each message, in batch. messages: session_id, seq, peer_id, type, track, position."""
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _run(Session(), rows, key[0])[1]
-
-    return messages.groupBy("session_id").applyInPandas(one, STATUS)
+    """The state after each message, in batch. messages: session_id, seq, peer_id, type, track, position.
+
+    Windows over each session's messages: an epoch runs from one `create` to the next, values are the last ones set, and
+    listeners are a running sum of what joins and leaves change.
+    """
+    of = lambda *by: Window.partitionBy("session_id", *by).orderBy("seq")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    kind, peer = F.col("type"), F.col("peer_id")
+    m = messages.select("session_id", "seq", "peer_id", "type", "track", "position").withColumn("epoch", F.count_if(kind == "create").over(upto(of())))
+    host = F.first(F.when(kind == "create", F.struct("peer_id")), ignorenulls=True).over(upto(of("epoch")))["peer_id"]
+    m = m.withColumn("host", host).withColumn("mine", F.coalesce(peer == F.col("host"), peer.isNull() & F.col("host").isNull()))
+    ends = (F.col("epoch") > 0) & ((kind == "endSession") | (kind.isin("close", "leave") & F.col("mine")))
+    m = m.withColumn("active", (F.col("epoch") > 0) & (F.count_if(ends).over(upto(of("epoch"))) == 0))
+    last = lambda test, value: F.last(F.when(test, F.struct(value.alias("v"))), ignorenulls=True).over(upto(of("epoch")))["v"]
+    placed = (kind == "nowPlaying") | (kind.isin("position", "pause", "resume") & F.col("position").isNotNull())
+    m = m.withColumns({
+        "_track": last(kind == "nowPlaying", F.col("track")),
+        "_playing": last(kind.isin("nowPlaying", "pause", "resume"), kind != "pause"),
+        "_position": last(placed, F.coalesce("position", F.lit(0.0))),
+    })
+    moves = (F.col("epoch") > 0) & ~F.col("mine") & kind.isin("join", "leave", "close")
+    there = F.when(moves, kind == "join")
+    was = F.last(there, ignorenulls=True).over(of("epoch", "peer_id").rowsBetween(Window.unboundedPreceding, -1))
+    m = m.withColumn("_change", F.when(moves, (kind == "join").cast("int") - F.coalesce(was, F.lit(False)).cast("int")).otherwise(0))
+    m = m.withColumn("_listeners", F.sum("_change").over(upto(of("epoch"))))
+    on = lambda c, other: F.when(F.col("active"), F.coalesce(F.col(c), F.lit(other)))
+    return m.select(
+        "session_id", F.col("seq").cast("long").alias("seq"), "active", F.when(F.col("active"), F.col("_track")).alias("track"), on("_playing", False).alias("playing"),
+        on("_position", 0.0).cast("double").alias("position"), on("_listeners", 0).cast("int").alias("listeners"),
+    ).fillna({"playing": False, "position": 0.0, "listeners": 0})
 
 
 def track_state(messages: DataFrame) -> DataFrame:

@@ -44,6 +44,12 @@ def test_similar_names(spark, a, b, same):
         (lambda: strings.normalise_title(F.lit("Don't  Stop!")), "dont stop"),
         (lambda: strings.ascii_slug(F.lit("Foo & Bar!!")), "foo-bar"),
         (lambda: strings.unicode_slug(F.lit("Ça Va Mañana")), "ca-va-manana"),
+        (lambda: strings.unicode_slug(F.lit("ДДТ & Щука")), "ddt-shchuka"),
+        (lambda: strings.unicode_slug(F.lit("Ελλάδα Ψ")), "ellada-ps"),
+        (lambda: strings.unicode_slug(F.lit("아이유")), "aiyu"),
+        (lambda: strings.unicode_slug(F.lit("X Japan ゆず")), "x-japan-yuzu"),
+        (lambda: strings.unicode_slug(F.lit("林檎")), "6797-6a8e"),
+        (lambda: strings.unicode_slug(F.lit("Straße Ærø")), "strasse-aero"),
         (lambda: strings.genre_tokens(F.lit("Symphonic Black Metal / Industrial/Electronic Metal")), ["symphonic black metal", "industrial/electronic metal"]),
         (lambda: strings.byte_size(F.lit(1023)), "1023 B"),
         (lambda: strings.byte_size(F.lit(1536)), "1.50 KB"),

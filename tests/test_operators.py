@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from melisma.operators import changes, explore, matching, quality
+from melisma.operators import browse, changes, explore, matching, quality
 from melisma.sources import files, rest, snapshots
 from melisma.streaming import plays, sessions
 
@@ -72,7 +72,12 @@ def test_audio_files(spark, tmp_path):
     assert scan() == ["Air/One/a.mp3", "Beck/c.ogg", "Zed/d.opus", "air/b.FLAC"]
     assert scan(lo="b", hi="b") == ["Beck/c.ogg"] and scan(after="beck") == ["Zed/d.opus"] and scan(limit=1) == ["Air/One/a.mp3"]
     body = spark.read.format("binaryFile").load(str(tmp_path / "Beck" / "c.ogg"))
-    assert bytes(files.byte_range(body, 2, 4).first().part) == b"xxx"
+    assert bytes(files.byte_range(body, 2, 4).first().part) == b"xxx" and bytes(files.byte_range(body, 8, 40).first().part) == b"xx" and files.byte_range(body, 40, 41).first().part == b""
+    assert scan(only="nothing") == []
+    (tmp_path / "Locked").mkdir()
+    (tmp_path / "Locked").chmod(0)  # a folder that is left out isn't listed
+    assert scan(only="be") == ["Beck/c.ogg"]
+    (tmp_path / "Locked").chmod(0o755)
 
 
 def test_track_meta(spark):
@@ -133,6 +138,66 @@ def test_session_states(spark, tmp_path):
     assert sessions.next_mode("catalogue") == "off"
 
 
+def test_sessions_without_a_row_loop(spark):
+    """The windows against the message-by-message rules, over random messages."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"s{i % 7}", i, rng.choice(["create", "join", "join", "leave", "close", "nowPlaying", "position", "pause", "resume", "endSession", "produce"]), rng.choice(["h", "p1", "p2", "p3", None]), rng.choice(["a", "b", None]), rng.choice([None, 1.5, 9.0])) for i in range(700)]
+    df = spark.createDataFrame(rows, "session_id string, seq long, type string, peer_id string, track string, position double")
+    want = {}
+    for key in {r[0] for r in rows}:
+        s = sessions.Session()
+        for _, i, kind, peer, track, position in (r for r in rows if r[0] == key):
+            s = sessions.step(s, kind, peer, track, position)
+            want[i] = (s.active, s.track, s.playing, float(s.position), len(s.listeners))
+    assert {r.seq: (r.active, r.track, r.playing, r.position, r.listeners) for r in sessions.replay(df).collect()} == want
+
+
+def test_ranks_without_one_task(spark):
+    rows = spark.createDataFrame([(i, float((i * 37) % 101)) for i in range(300)], "id long, w double")
+    got = [(r._place, r._n, r.id, r._run, r._whole) for r in browse.running(rows, [F.desc("w"), F.asc("id")], "w").orderBy("_place").collect()]
+    best = sorted(((i, float((i * 37) % 101)) for i in range(300)), key=lambda x: (-x[1], x[0]))
+    total = 0.0
+    for k, (i, w) in enumerate(best):
+        total += w
+        assert got[k][:3] == (k + 1, 300, i) and got[k][3] == pytest.approx(total)
+    assert [r.id for r in browse.top_share(rows, [F.desc("w"), F.asc("id")], 0.1).orderBy(F.desc("w"), "id").collect()] == [i for i, _ in best[:30]]
+    assert browse.top_share(rows.limit(5), [F.asc("id")]).count() == 5 and browse.running(rows.limit(0), [F.asc("id")]).count() == 0
+
+
+def test_checkpoint(spark, tmp_path):
+    at = changes.Checkpoint(spark, str(tmp_path / "point"))
+    assert at.load().count() == 0
+    state = lambda c, n: spark.createDataFrame([(c, n)], "cursor string, done long")
+    at.save(state("b", 2))
+    at.save(state("a", 5))
+    assert [tuple(r) for r in at.load().collect()] == [("main", "a", 5)]
+    at.clear()
+    assert at.load().count() == 0
+    at.save(state("c", 1))
+    assert at.load().first().cursor == "c"
+
+
+def test_playlists(spark):
+    have = spark.createDataFrame([("road-trip", "Road Trip")], "slug string, name string")
+    want = spark.createDataFrame([("Road trip!",), ("Calm",), ("calm",), ("!!",)], "name string")
+    lists, refused = changes.create_playlists(have, want)
+    assert sorted(map(tuple, lists.collect())) == [("calm", "Calm"), ("road-trip", "Road Trip")]
+    assert sorted(r.message for r in refused.collect()) == ["slug taken: ", "slug taken: calm", "slug taken: road-trip"]
+    entries = spark.createDataFrame([("calm", 1, 0), ("calm", 2, 1)], "slug string, track_id long, position long")
+    more = changes.add_entries(entries, spark.createDataFrame([("calm", 9, 0), ("calm", 1, 1), ("calm", 8, 2), ("road-trip", 5, 0), ("calm", 9, 3)], "slug string, track_id long, n long"))
+    assert sorted(map(tuple, more.collect())) == [("calm", 1, 0), ("calm", 2, 1), ("calm", 8, 3), ("calm", 9, 2), ("road-trip", 5, 0)]
+    left, rest_ = changes.delete_playlists(lists, more, spark.createDataFrame([("calm",)], "slug string"))
+    assert [r.slug for r in left.collect()] == ["road-trip"] and [r.slug for r in rest_.collect()] == ["road-trip"]
+
+
+def test_play_totals(spark):
+    df = spark.createDataFrame([(1, 10, T0), (1, 10, T0 + dt.timedelta(hours=1)), (2, 10, T0), (3, None, T0)], "track_id long, release_id long, ts timestamp")
+    got = sorted((r.kind, r.id, r.plays) for r in plays.play_totals(df).collect())
+    assert got == [("release", 10, 3), ("track", 1, 2), ("track", 2, 1), ("track", 3, 1)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from melisma.functions import strings
-from melisma.operators import browse, quality
+from melisma.operators import browse, catalogue, quality
 from melisma.plans.registry import query, table
 
 
@@ -124,53 +124,71 @@ def jn18_two_step_id(spark, d):
     return ids.join(first, ids.id == first.o_custkey, "left").select("id", F.coalesce("first", "id").alias("release_id"))
 
 
-@query("""SELECT o_orderkey AS id, 'Matched' AS kind FROM orders WHERE o_custkey = 5 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
-UNION ALL SELECT o_orderkey, 'Unmatched' FROM orders WHERE o_custkey = 5 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
-UNION ALL SELECT DISTINCT l_orderkey, 'Appears On' FROM lineitem WHERE l_suppkey = 5 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = 5)""")
+def _catalogue(spark, d) -> dict:
+    """The tables of a catalogue: suppliers as artists, orders as releases, even ones as references, their lines as tracks."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    artist = (k % 10 + 1).cast("long")
+    return {
+        "artists": table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("average_match_score")),
+        "reference": o.where(k % 2 == 0).select(k.alias("id"), artist.alias("artist_id"), F.col("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year"), F.lit("Album").alias("type"), F.col("o_orderstatus").alias("status")),
+        "local": o.select(k.alias("id"), artist.alias("artist_id"), F.when(k % 5 != 0, F.col("o_orderpriority")).alias("title"), F.year("o_orderdate").alias("year"), F.when(k % 3 == 0, k - k % 2).alias("release_id"), F.col("o_orderstatus").alias("match_status"), F.col("o_orderdate").alias("created_at"), F.when(k % 7 == 0, F.col("o_orderdate")).alias("last_played_at")),
+        "tracks": table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("n")).select(F.col("l_orderkey").alias("id"), F.concat(F.lit("Track "), F.col("n").cast("string")).alias("title"), F.col("l_orderkey").alias("local_release_id")),
+        "track_artists": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track_id"), F.col("l_suppkey").alias("artist_id")),
+    }
+
+
+_CATALOGUE = """artists AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS score FROM supplier),
+reference AS (SELECT o_orderkey AS id, o_orderkey % 10 + 1 AS artist_id, o_orderpriority AS title, year(o_orderdate) AS year, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0),
+local_ AS (SELECT o_orderkey AS id, o_orderkey % 10 + 1 AS artist_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS title, year(o_orderdate) AS year, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - o_orderkey % 2 END AS release_id, o_orderstatus AS match_status, o_orderdate AS created_at, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate END AS last_played_at FROM orders),
+tracks AS (SELECT l_orderkey AS id, 'Track ' || min(l_partkey) AS title FROM lineitem GROUP BY 1),
+mine AS (SELECT DISTINCT t.l_suppkey AS artist, l.* EXCLUDE (artist_id) FROM lineitem t JOIN local_ l ON l.id = t.l_orderkey WHERE t.l_suppkey <= 5)"""
+
+
+@query(f"""WITH {_CATALOGUE},
+own AS (SELECT artist, release_id AS ref, arg_max(id, (year, coalesce(title, ''), id)) AS own FROM mine WHERE release_id IS NOT NULL GROUP BY 1, 2),
+linked AS (SELECT release_id AS ref, min(id) AS linked FROM local_ WHERE release_id IS NOT NULL GROUP BY 1),
+listed AS (SELECT r.artist_id, r.id, r.title, r.year, 'Album' AS type, r.status, coalesce(own.own, linked.linked) AS local_release_id FROM reference r LEFT JOIN own ON own.artist = r.artist_id AND own.ref = r.id LEFT JOIN linked ON linked.ref = r.id WHERE r.artist_id <= 5),
+rest AS (SELECT * FROM mine WHERE NOT EXISTS (SELECT 1 FROM listed WHERE listed.artist_id = mine.artist AND listed.local_release_id = mine.id))
+SELECT * FROM listed UNION ALL SELECT artist, id, title, year, 'Unmatched', match_status, id FROM rest WHERE release_id IS NULL
+UNION ALL SELECT artist, id, title, year, 'Appears On', match_status, id FROM rest WHERE release_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM reference r WHERE r.artist_id = rest.artist AND r.id = rest.release_id)""")
 def qry01_unified_releases(spark, d):
-    """An artist's releases with tracks, those without, and others' releases that the artist appears on (SET-01)."""
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    own = o.where("o_custkey = 5").select(F.col("o_orderkey").alias("id"))
-    tracks = li.select(F.col("l_orderkey").alias("id"))
-    guest = li.where("l_suppkey = 5").select(F.col("l_orderkey").alias("id")).distinct().join(own, "id", "left_anti")
-    kind = lambda df, k: df.withColumn("kind", F.lit(k))
-    return kind(own.join(tracks, "id", "left_semi"), "Matched").unionByName(kind(own.join(tracks, "id", "left_anti"), "Unmatched")).unionByName(kind(guest, "Appears On"))
+    """The release lists of five artists: references, unmatched releases and those that they appear on (SET-01)."""
+    t = _catalogue(spark, d)
+    return catalogue.artist_releases(t["artists"].where("id <= 5"), t["reference"], t["local"], t["tracks"], t["track_artists"])
 
 
-@query("""(SELECT 'artist' AS kind, c_custkey AS id, c_name AS label FROM customer WHERE contains(lower(c_name), '1') ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 5)
-UNION ALL (SELECT 'release', o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), '1') ORDER BY o_totalprice DESC, o_orderkey LIMIT 5)
-UNION ALL (SELECT 'track', p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_brand), '1') ORDER BY p_name, p_partkey LIMIT 5)""")
+@query(f"""WITH {_CATALOGUE}
+(SELECT 'artist' AS kind, id, name AS label FROM artists WHERE contains(lower(name), 'r1') OR contains(lower(name), '00') ORDER BY score DESC NULLS FIRST, name, id LIMIT 5)
+UNION ALL (SELECT 'release', l.id, coalesce(nullif(l.title, ''), r.title, 'Unknown Release') FROM local_ l LEFT JOIN reference r ON r.id = l.release_id WHERE coalesce(contains(lower(l.title), '00'), false) OR coalesce(contains(lower(r.title), '00'), false) ORDER BY l.created_at DESC, l.id LIMIT 5)
+UNION ALL (SELECT 'track', id, title FROM tracks WHERE contains(lower(title), '00') ORDER BY title, id LIMIT 5)""".replace("contains(lower(name), 'r1') OR ", ""))
 def qry02_search_union(spark, d):
-    q = "1"
-    c, o, p = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "part")
-    out = lambda df, kind, key, label: df.limit(5).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"))
-    artists = c.where(browse.contains_text(F.col("c_name"), q)).orderBy(F.desc_nulls_first("c_acctbal"), "c_custkey")
-    releases = o.where(browse.contains_text(F.col("o_orderpriority"), q)).orderBy(F.desc("o_totalprice"), "o_orderkey")
-    tracks = p.where(browse.contains_text(F.col("p_name"), q) | browse.contains_text(F.col("p_brand"), q)).orderBy("p_name", "p_partkey")
-    return out(artists, "artist", "c_custkey", "c_name").unionByName(out(releases, "release", "o_orderkey", "o_orderpriority")).unionByName(out(tracks, "track", "p_partkey", "p_name"))
+    t = _catalogue(spark, d)
+    return catalogue.search("00", t["artists"], t["local"], t["reference"], t["tracks"])
 
 
-@query("""SELECT 'release' AS kind, o_orderkey AS id, coalesce(t.k, -1) AS first_track FROM orders JOIN labels ON doc_id = o_orderkey AND quality = 1 LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS k FROM lineitem GROUP BY 1) t ON l_orderkey = o_orderkey
-UNION ALL SELECT 'track', p_partkey, p_partkey FROM part JOIN labels ON doc_id = p_partkey AND toxic = 1""")
+@query(f"""WITH {_CATALOGUE}, linked AS (SELECT release_id, min(id) AS local_id FROM local_ WHERE release_id IS NOT NULL GROUP BY 1)
+SELECT 'release' AS kind, r.id, r.title, coalesce(local_id, r.id) AS shown_id FROM reference r JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) f ON f.doc_id = r.id LEFT JOIN linked ON linked.release_id = r.id
+UNION ALL SELECT 'track', t.id, t.title, t.id FROM tracks t JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) f ON f.doc_id = t.id""")
 def qry03_favourites(spark, d):
-    o, li, p, f = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "labels")
-    first = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_track"))
-    rel = o.join(f.where("quality = 1"), o.o_orderkey == f.doc_id).join(first, o.o_orderkey == first.l_orderkey, "left")
-    tr = p.join(f.where("toxic = 1"), p.p_partkey == f.doc_id)
-    return rel.select(F.lit("release").alias("kind"), F.col("o_orderkey").alias("id"), F.coalesce("first_track", F.lit(-1)).cast("long").alias("first_track")).unionByName(tr.select(F.lit("track").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("first_track")))
+    t, f = _catalogue(spark, d), table(spark, d, "labels")
+    liked = lambda test, name: f.where(test).select(F.col("doc_id").alias(name)).distinct().withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    return catalogue.favourites(liked("quality = 1", "release_id"), liked("toxic = 1", "track_id"), t["reference"], t["local"], t["tracks"]).select("kind", "id", "title", "shown_id")
 
 
-@query("""(SELECT 'latest' AS part, o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 12)
-UNION ALL (SELECT 'played', user_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 12)
-UNION ALL (SELECT 'playlists', conv_id FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 12)
-UNION ALL (SELECT 'favourites', doc_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 12)""")
+@query(f"""WITH {_CATALOGUE}, p AS (SELECT DISTINCT conv_id AS id, 'list ' || conv_id AS name FROM conversations)
+SELECT 'latest' AS part, id, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM local_ QUALIFY place <= 12
+UNION ALL SELECT 'played', id, row_number() OVER (ORDER BY last_played_at DESC, id) AS place FROM local_ WHERE last_played_at IS NOT NULL QUALIFY place <= 12
+UNION ALL SELECT 'playlists', id, row_number() OVER (ORDER BY name, id) AS place FROM p QUALIFY place <= 12
+UNION ALL SELECT 'favourites', id, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM local_ WHERE id % 11 = 0 QUALIFY place <= 12""")
 def qry04_home_page(spark, d):
-    o, e, t, f = table(spark, d, "orders"), table(spark, d, "events"), table(spark, d, "conversations"), table(spark, d, "labels")
-    part = lambda df, name, key: df.limit(12).select(F.lit(name).alias("part"), F.col(key).alias("id"))
-    played = e.groupBy("user_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t"), "user_id")
-    out = part(o.orderBy(F.desc("o_orderdate"), "o_orderkey"), "latest", "o_orderkey").unionByName(part(played, "played", "user_id"))
-    out = out.unionByName(part(t.select("conv_id").distinct().orderBy("conv_id"), "playlists", "conv_id"))
-    return out.unionByName(part(f.where("quality = 1").orderBy("doc_id"), "favourites", "doc_id"))
+    t, p = _catalogue(spark, d), table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    return catalogue.home(t["local"], p.withColumn("name", F.concat(F.lit("list "), F.col("id").cast("string"))), t["local"].where("id % 11 = 0").select("id", "created_at"))
+
+
+@query(f"""WITH {_CATALOGUE} SELECT l.id, l.title, l.year, a.name AS artist FROM local_ l JOIN artists a ON a.id = l.artist_id WHERE l.year >= 1990 AND l.year < 2000 ORDER BY l.year, l.title NULLS FIRST, l.id LIMIT 48 OFFSET 48""")
+def qry05_timeline(spark, d):
+    t = _catalogue(spark, d)
+    return catalogue.timeline(t["local"], t["artists"], 1990, 2)
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"

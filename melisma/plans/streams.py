@@ -8,11 +8,11 @@ from melisma.plans.registry import query, table
 from melisma.streaming import plays, sessions
 
 
-@query("""SELECT kind, id, count(*) AS plays, max(ts) AS last_played FROM (SELECT 'track' AS kind, event_id % 500 AS id, ts FROM events UNION ALL SELECT 'release', (event_id % 500) // 12, ts FROM events) GROUP BY 1, 2""")
+@query("""SELECT kind, id, count(*) AS plays, max(ts) AS last_played FROM (SELECT 'track' AS kind, event_id % 500 AS id, ts FROM events UNION ALL SELECT 'release', (event_id % 500) // 12, ts FROM events UNION ALL SELECT 'artist', user_id, ts FROM events) GROUP BY 1, 2""")
 def stm01_play_counts(spark, d):
     stream = plays.events(spark, d, "events.parquet", table(spark, d, "events").schema)
     track = F.col("event_id") % 500
-    return plays.drained(plays.play_totals(stream.select(track.alias("track_id"), F.floor(track / 12).alias("release_id"), "ts")))
+    return plays.drained(plays.play_totals(stream.select(track.alias("track_id"), F.floor(track / 12).alias("release_id"), F.col("user_id").alias("artist_id"), "ts")))
 
 
 def _messages(spark, d):

@@ -18,14 +18,14 @@ def play_counts(plays: DataFrame, key: str) -> DataFrame:
     return plays.groupBy(key).agg(F.count("*").alias("plays"), F.max("ts").alias("last_played"))
 
 
-def play_totals(plays: DataFrame) -> DataFrame:
-    """kind, id, plays, last_played of tracks and of their releases (STM-01): a play counts for both, in one pass.
+def play_totals(plays: DataFrame, kinds: tuple[str, ...] = ("track", "release", "artist")) -> DataFrame:
+    """kind, id, plays, last_played of tracks, their releases and artists (STM-01): a play counts for each, in one pass.
 
-    plays: track_id, release_id (null for a loose track), ts.
+    plays: ts and a column <kind>_id for each kind there is; null where there is none, as for a loose track's release.
     """
-    of = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
-    both = plays.select("ts", F.explode(F.array(of("track", "track_id"), of("release", "release_id"))).alias("k")).select("k.kind", "k.id", "ts")
-    return both.where("id is not null").groupBy("kind", "id").agg(F.count("*").alias("plays"), F.max("ts").alias("last_played"))
+    of = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_id").cast("long").alias("id"))
+    each = plays.select("ts", F.explode(F.array(*[of(k) for k in kinds if f"{k}_id" in plays.columns])).alias("k")).select("k.kind", "k.id", "ts")
+    return each.where("id is not null").groupBy("kind", "id").agg(F.count("*").alias("plays"), F.max("ts").alias("last_played"))
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:

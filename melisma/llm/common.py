@@ -182,15 +182,18 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, STEP_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _POWERS[name] = p
-    return _POWERS["up"], _POWERS["down"]
+    """base**i and base**-i modulo 2**64 for i < n. Kept for a step's length; longer tables are made for one use."""
+    if len(_POWERS.get("up", ())) >= n:
+        return _POWERS["up"], _POWERS["down"]
+    size, made = max(n, STEP_BYTES + 2), {}
+    for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        made[name] = p
+    if n <= STEP_BYTES + 2:
+        _POWERS.update(made)
+    return made["up"], made["down"]
 
 
 class Texts:
@@ -218,13 +221,22 @@ class Texts:
         ends = np.append(inner[last], inner[-1]) + 1
         return starts, ends, np.searchsorted(starts, self.bounds)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the byte spans, by differences of one running polynomial sum."""
-        raw = self.raw if raw is None else raw
-        up, down = _powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_TABLE[raw] * up[: len(raw)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans, which follow one another, by differences of one running polynomial sum. A long
+        text goes piece by piece: what is held besides grows with its longest span, not with its length."""
+        out = np.empty(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):
+            zero = int(starts[a])
+            b = max(a + 1, int(np.searchsorted(ends, zero + STEP_BYTES, "right")))
+            x, y = starts[a:b] - zero, ends[a:b] - zero
+            piece = self.raw[zero : int(ends[b - 1])]
+            up, down = _powers(len(piece) + 1)
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_TABLE[piece] * up[: len(piece)], out=total[1:])
+            out[a:b] = mix64((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64))
+            a = b
+        return out
 
     def per_text(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Sums of values between the positions `at`."""

@@ -65,3 +65,12 @@ def test_verdicts_on_hosts_match_sql(spark):
 def test_hosts_that_differ_by_chance_stay(spark):
     judged = spark.createDataFrame([(f"h{i % 20}", (i * 7919) % 11 == 0) for i in range(1000)], "host string, base_failed boolean")
     assert Q.host_verdicts(judged).where("host_rejected").isEmpty()
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    texts = pa.array(["one two  three " * 50 + "x" * 300 + " end", "", " ", "x" * 500, "one"])
+    whole = [t.hashes(*t.word_spans()[:2]).tolist() for _, _, t in Q.C.text_steps(texts)]
+    monkeypatch.setattr(Q.C, "STEP_BYTES", 40)
+    monkeypatch.setattr(Q.C, "_POWERS", {})
+    pieces = [t.hashes(*t.word_spans()[:2]).tolist() for _, _, t in Q.C.text_steps(texts)]
+    assert sum(whole, []) == sum(pieces, []) and len(Q.C._POWERS["up"]) == 42

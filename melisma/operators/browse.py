@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melisma.functions import maths
+from melisma.sources.folders import work_folder
 
 #: Release types that a sync leaves out, and link types with an icon of their own.
 SKIPPED_TYPES = ("single", "bootleg", "demo", "interview", "broadcast")
@@ -118,15 +119,18 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 def running(rows: DataFrame, order: list[Column], weight: str | None = None) -> DataFrame:
     """With _place (from 1), _n (rows) and, for a weight, _run and _whole: its running and its whole sum.
 
-    The order is dealt out by ranges, so no task sees all rows; one row a range adds up what came before it. A fixed
-    number of ranges keeps the two readers of the ranges alike. The order must be unique.
+    The order is dealt out by ranges, so no task sees all rows; one row a range adds up what came before it. The ranges
+    go by samples that differ from run to run, so the rows are written with their range before both are read. The order
+    must be unique.
     """
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     value = F.col(weight) if weight else F.lit(0.0)
-    dealt = rows.withColumn("_v", value.cast("double")).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = rows.withColumn("_v", value.cast("double")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("_place", F.count("*").over(inside)).withColumn("_run", F.sum("_v").over(inside))
+    at = work_folder(spark, "ranks")
+    dealt.write.parquet(at)
+    dealt = spark.read.schema(dealt.schema).parquet(at)
     parts = dealt.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("_v").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()

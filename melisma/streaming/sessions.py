@@ -93,24 +93,19 @@ def replay(messages: DataFrame) -> DataFrame:
     ).fillna({"playing": False, "position": 0.0, "listeners": 0})
 
 
-def track_state(messages: DataFrame, idle_minutes: int = 24 * 60) -> DataFrame:
-    """The same over a stream: the state is kept between batches, by session. It goes when the session ends, and after so
-    many minutes without a message."""
+def track_state(messages: DataFrame) -> DataFrame:
+    """The same over a stream: the state is kept between batches, by session, until the session ends."""
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         s = Session(**json.loads(state.get[0])) if state.exists else Session()
         s, out = _run(s, pd.concat(list(batches)), key[0])
         if s.active:
             state.update((json.dumps(asdict(s)),))
-            state.setTimeoutDuration(idle_minutes * 60_000)
         elif state.exists:
             state.remove()
         yield out
 
-    return messages.groupBy("session_id").applyInPandasWithState(one, STATUS, "state string", "append", "ProcessingTimeTimeout")
+    return messages.groupBy("session_id").applyInPandasWithState(one, STATUS, "state string", "append", "NoTimeout")
 
 
 def status(states: DataFrame) -> DataFrame:

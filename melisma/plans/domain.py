@@ -198,7 +198,7 @@ def dq01_rules(spark, d):
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal::INTEGER <= 0 OR c_acctbal::INTEGER >= 2030 THEN 'bad' ELSE 'ok' END AS year FROM customer")
 def dq03_years(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.when(quality.invalid_year(F.round("c_acctbal").cast("int").cast("string")).isNotNull(), "bad").otherwise("ok").alias("year"))
+    return table(spark, d, "customer").select("c_custkey", F.when(quality.invalid_year(F.rint("c_acctbal").cast("int").cast("string")).isNotNull(), "bad").otherwise("ok").alias("year"))
 
 
 @query("""WITH f AS (SELECT doc_id, source || '/' || (doc_id // 3) || '/' || doc_id || '.mp3' AS path, doc_id % 11 <> 0 AS readable FROM documents)

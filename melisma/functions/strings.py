@@ -134,11 +134,23 @@ def extension(path: Column) -> Column:
     return F.substring_index(path, ".", -1)
 
 
-def byte_size(n: Column) -> Column:
-    """1024-based, two decimals from KB on."""
-    out = F.format_string("%d B", n.cast("long"))
+def _binary(n: Column, power: int, unit: str) -> Column:
+    """n / 2**power with two decimals, ties to even, as C and Rust print it: Java rounds the shortest decimals half up."""
+    n = F.coalesce(n.cast("double").try_cast("long"), n)
+    part = n.bitwiseAND(F.lit((1 << power) - 1).cast("long")) * 100
+    cents, rest, half = F.shiftright(part, power), part.bitwiseAND(F.lit((1 << power) - 1).cast("long")), 1 << (power - 1)
+    cents = cents + ((rest > half) | ((rest == half) & (cents % 2 == 1))).cast("long")
+    return F.format_string(f"%d.%02d {unit}", F.shiftright(n, power) + (cents == 100).cast("long"), cents % 100)
+
+
+def byte_size(n: Column, largest: str = "TB") -> Column:
+    """1024-based, two decimals from KB on, in units up to the largest one."""
+    n = n.cast("long")
+    out = F.format_string("%d B", n)
     for power, unit in ((10, "KB"), (20, "MB"), (30, "GB"), (40, "TB")):
-        out = F.when(n >= (1 << power), F.format_string(f"%.2f {unit}", n / float(1 << power))).otherwise(out)
+        out = F.when(n >= (1 << power), _binary(n, power, unit)).otherwise(out)
+        if unit == largest:
+            break
     return F.when(n.isNotNull(), out)
 
 

@@ -2,8 +2,8 @@
 
 All token streams, each document's closed by an end token, are laid end to end and cut into windows of a fixed length,
 so only the last window of the corpus can be short. Pass one tokenizes once, keeps the ids and sums them by partition;
-prefix sums over the partition totals give every document its global offset; pass two cuts each document at the window
-bounds. A document that crosses a bound gives one piece a window, the boundary record.
+prefix sums over the partition totals give every document its global offset; pass two, in SQL functions, cuts each document
+at the window bounds. A document that crosses a bound gives one piece a window, the boundary record.
 
 Edge cases: a null text packs as an empty one, as its end token alone. Repeated rows and ids are packed each. A text
 longer than a window spreads over many. An empty table gives no pieces. Other columns are ignored, whatever their names.
@@ -17,11 +17,12 @@ import base64
 import functools
 import json
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -31,8 +32,8 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: How byte-level BPE files split a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Ids in one step of the second pass.
-STEP_IDS = 1 << 20
+#: Texts that Spark hands to Python at a time: its buffers, and a worker's, grow with them.
+BATCH_ROWS = 512
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -96,40 +97,25 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset. The ids are the sequences' own."""
-    tokens = C.cut(tokenize(docs, id_col, text_col, path, name, end_id))
+    with C.settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}):
+        tokens = C.cut(tokenize(docs, id_col, text_col, path, name, end_id))
     # one row a partition of the first pass, so as many as it had tasks
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    base: dict[int, int] = {}
-    at = 0
-    for r in totals:
-        base[r.part] = at
-        at += r.n
-    shared = docs.sparkSession.sparkContext.broadcast(base)
-
-    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets = shared.value
-        for whole in batches:
-            sizes = whole.column(3).to_numpy()
-            step = np.cumsum(sizes) // STEP_IDS
-            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(sizes)]
-            for x, y in zip(edges, edges[1:], strict=False):
-                b = whole.slice(x, y - x)
-                n = b.column(3).to_numpy()
-                first = b.column(1).to_numpy() + np.array([offsets[p] for p in b.column(0).to_pylist()], np.int64)
-                pieces = (first + n - 1) // length - first // length + 1
-                row = np.repeat(np.arange(len(n)), pieces)
-                k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                seq = first[row] // length + k
-                lo = np.maximum(first[row], seq * length)
-                hi = np.minimum(first[row] + n[row], (seq + 1) * length)
-                ids = b.column(4).to_pylist()
-                cut = [ids[i][4 * p : 4 * q] for i, p, q in zip(row.tolist(), (lo - first[row]).tolist(), (hi - first[row]).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(2).take(pa.array(row)), pa.array(lo - first[row]), pa.array(hi - lo), pa.array(cut, pa.binary()), pa.array(n[row]), pa.array(seq), pa.array(lo - seq * length)],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
-
-    return tokens.mapInArrow(cut_windows, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    base = [(r.part, at) for r, at in zip(totals, accumulate((r.n for r in totals), initial=0), strict=False)]
+    offsets = docs.sparkSession.createDataFrame(base, "part int, base long")
+    first, n = F.col("first"), F.col("n_tokens")
+
+    def piece(seq: Column) -> Column:
+        """The ids of a document that fall into one window; the array of a document's pieces is as long as its ids."""
+        lo, hi = F.greatest(first, seq * length), F.least(first + n, (seq + 1) * length)
+        ids = F.substring("ids", (4 * (lo - first) + 1).cast("int"), (4 * (hi - lo)).cast("int"))
+        return F.struct((lo - first).alias("start"), (hi - lo).alias("length"), ids.alias("ids"), seq.alias("sequence_id"), (lo - seq * length).alias("offset"))
+
+    whole = tokens.join(F.broadcast(offsets), "part").select("doc_id", "n_tokens", "ids", (F.col("start") + F.col("base")).alias("first"))
+    window = lambda at: F.call_function("div", at, F.lit(length).cast("long"))
+    windows = F.sequence(window(first), window(first + n - 1))
+    pieces = whole.select("doc_id", n.alias("doc_tokens"), F.explode(F.transform(windows, piece)).alias("p"))
+    return pieces.select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

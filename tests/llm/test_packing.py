@@ -58,3 +58,13 @@ def test_digest_and_empty(spark):
     ids = K.encoder(K.vocabulary_path())("abc").tolist() + [0]
     assert one.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and one.doc_tokens == len(ids)
     assert K.pack(docs(spark, [])).count() == 0
+
+
+def test_only_the_first_pass_runs_in_python(spark):
+    """The second pass has no Arrow buffers and no Python workers beside the executor's heap."""
+    rows = [(i, f"text number {i} " * (i % 50)) for i in range(3 * K.BATCH_ROWS)]
+    pieces = K.pack(docs(spark, rows).coalesce(1), length=64)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+    got = pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(got) == len(rows) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in got)

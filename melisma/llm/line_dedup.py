@@ -3,7 +3,7 @@
 A line is the set of its words. Lines with equal sets form one class, known by its first line in order of document id
 and line number; a class is joined to others on its rarest words: all words are ordered by how often they occur, and two
 sets with a Jaccard of at least PCT percent share a word within their prefixes in that order. Positional and length
-filters thin the candidates out, and so do sketches of the sets; the Jaccard of the rest is verified on the whole sets. A
+filters thin the candidates out, and so do sketches of the sets (64 bits, 128 for large ones); the Jaccard of the rest is verified on the whole sets. A
 line is removed if a line before it matches; that is, if its class began before it, or its class matches one that began
 earlier.
 
@@ -34,6 +34,8 @@ PCT = 80
 SLOT_BITS = 18
 #: Under a word that more classes have in their prefixes, they are compared with two of them first.
 MANY = 256
+#: Sets of more words have sketches of 128 bits, others of 64.
+WIDE = 64
 #: Documents whose lists of lines a task gathers by hashing; beyond, it sorts.
 HELD = 20_000
 _HASH_BITS = 57
@@ -94,15 +96,22 @@ def _keyed(lines: DataFrame, ranks: bytes) -> DataFrame:
     return lines.select("doc", "h", "line", F.sort_array(F.transform(_word_set(F.col("l")), key)).alias("keys"))
 
 
-def _odd(keys: Column, half: int) -> Column:
-    """Half of a sketch of 128 bits: a bit is set where an odd number of words fall on it."""
+def _odd(keys: Column) -> Column:
+    """A sketch of 64 bits: a bit is set where an odd number of words fall on it."""
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda t, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * half, t.bitwiseXOR(bit(k))).otherwise(t))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda t, k: t.bitwiseXOR(bit(k)))
+
+
+def _odd_high(keys: Column) -> Column:
+    """The part of the words with bit 6 in a large set's sketch, so that it makes 128 bits; 0 for others."""
+    return F.when(F.size(keys) > WIDE, _odd(F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
 
 
 def _apart() -> Column:
-    """Words that only one line has, at least: each bit that differs shows one."""
-    return F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
+    """Words that only one line has, at least: each bit that differs shows one. 128 bits where both sets are large."""
+    low, high = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in ("low", "high"))
+    wide = (F.shiftright("x.np", 32) > WIDE) & (F.shiftright("y.np", 32) > WIDE)
+    return F.when(wide, F.bit_count(low.bitwiseXOR(high)) + F.bit_count(high)).otherwise(F.bit_count(low))
 
 
 def _may_match(pct: int) -> Column:
@@ -119,35 +128,37 @@ def classes(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int)
     n = F.size("keys")
     p = F.when(100 * n >= pct * (n + 1), n - F.floor((n * pct + 99) / 100).cast("int") + 1).otherwise(0)
     prefix = F.slice("keys", F.lit(1), p)
-    rows = keyed.select(F.xxhash64("keys").alias("sig"), F.struct("doc", "line", "h").alias("o"), n.alias("n"), _odd(F.col("keys"), 0).alias("low"), _odd(F.col("keys"), 1).alias("high"), prefix.alias("prefix"))
+    rows = keyed.select(F.xxhash64("keys").alias("sig"), F.struct("doc", "line", "h").alias("o"), n.alias("n"), _odd(F.col("keys")).alias("low"), _odd_high(F.col("keys")).alias("high"), prefix.alias("prefix"))
     out = rows.groupBy("sig").agg(F.min("o").alias("o"), F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
     return out.drop("sig").where("n > 0").withColumn("cid", F.monotonically_increasing_id())
 
 
 def _verified(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
-    """cid of the later of those pairs (a, b) whose sets reach the threshold. Only the lines at stake are read again."""
+    """cid, o of the later of those pairs (a, b) whose sets reach the threshold. Only the lines at stake are read again."""
     named = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    lines = C.cut(C.join_small(groups.select("cid", "o"), named, "cid", "inner", salted=False))
-    wanted = C.cut(lines.select(F.struct("o.doc", "o.h").alias("d")).distinct())
-    rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), wanted, "d", "left_semi", salted=False)
-    some = C.join_small(_lines(rows).withColumn("o", F.struct("doc", "line", "h")), lines, "o", "inner", salted=False)
-    sets = C.cut(some.select("cid", "o", _word_set(F.col("l")).alias("words")).dropDuplicates(["cid"]))
+    lines = C.join_small(groups.select("cid", "o"), named, "cid", "inner", salted=False)
+    wanted = C.cut(lines.groupBy("o.doc", "o.h").agg(F.collect_list(F.struct("o.line", "cid")).alias("at")).withColumn("d", F.struct("doc", "h")).select("d", "at"))
+    rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), wanted, "d", "inner", salted=False)
+    # a generated column, so that a text is split once and not for each of its lines
+    rows = rows.select("doc", "h", "at", F.explode(F.array(F.split("text", "\n"))).alias("ls"))
+    some = rows.select("doc", "h", F.explode(F.transform("at", lambda x: F.struct(x["cid"].alias("cid"), x["line"].alias("line"), F.get("ls", x["line"]).alias("l")))).alias("t"))
+    sets = C.cut(some.select("t.cid", F.struct("doc", "t.line", "h").alias("o"), _word_set(F.col("t.l")).alias("words")).dropDuplicates(["cid"]))
     side = lambda c, i: sets.select(F.col("cid").alias(c), F.col("o").alias(f"o{i}"), F.col("words").alias(f"w{i}"))
     both = C.join_small(C.join_small(pairs, side("a", 1), "a", "inner", salted=False), side("b", 2), "b", "inner", salted=False)
     shared = F.size(F.array_intersect("w1", "w2"))
-    both = both.select(F.when(F.col("o1") > F.col("o2"), F.col("a")).otherwise(F.col("b")).alias("cid"), shared.alias("s"), (F.size("w1") + F.size("w2")).alias("z"))
-    hits = C.cut(both.where(100 * F.col("s") >= pct * (F.col("z") - F.col("s"))).select("cid").distinct())
-    C.release(named, sets, wanted, lines)
+    both = both.select(F.when(F.col("o1") > F.col("o2"), F.col("a")).otherwise(F.col("b")).alias("cid"), F.greatest("o1", "o2").alias("o"), shared.alias("s"), (F.size("w1") + F.size("w2")).alias("z"))
+    hits = C.cut(both.where(100 * F.col("s") >= pct * (F.col("z") - F.col("s"))).select("cid", "o").distinct())
+    C.release(named, sets, wanted)
     return hits
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = PCT) -> DataFrame:
     """doc, h, line of the lines with a word that stay."""
-    with C.short_plans(docs.sparkSession):
-        return _kept_lines(docs, id_col, text_col, pct)
+    return _stay(docs, id_col, text_col, pct).select("doc", "h", F.explode("stay").alias("line"))
 
 
-def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
+def _first_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> tuple[DataFrame, list[DataFrame]]:
+    """cid, o of all classes; and of those that match one that began earlier, in tables that may repeat a class."""
     ranks = word_ranks(_doc(docs, id_col, text_col))
     groups = C.cut(classes(docs, ranks, id_col, text_col, pct))
     posts = groups.where(F.size("prefix") > 0).select("cid", "o", "m", "n", "low", "high", F.posexplode("prefix").alias("pos", "word"))
@@ -171,21 +182,30 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFr
     # what is still open against all that began earlier; lengths that can match lie in the same band or the next
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / pct))).cast("int")
     y = shared.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
-    x = C.join_small(shared, removed, "cid", "left_anti", salted=False).withColumn("band", band).alias("x")
+    x = C.join_small(shared, removed.select("cid"), "cid", "left_anti", salted=False).withColumn("band", band).alias("x")
     more = x.join(y, F.expr("x.word = y.word and x.band = y.band and y.o < x.o") & _may_match(pct)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     more = C.cut(more.join(done, ["a", "b"], "left_anti"))
     C.release(shared, leads, hot, done)
-    removed = C.cut(removed.unionByName(_verified(more, groups, docs, id_col, text_col, pct)).distinct())
-    kept = C.cut(C.join_small(groups.select("cid", "o"), removed, "cid", "left_anti", salted=False).select("o.doc", "o.line", "o.h"))
-    C.release(groups, more, removed)
-    return kept
+    again = _verified(more, groups, docs, id_col, text_col, pct)
+    C.release(more)
+    return groups, [removed, again]
 
 
 def _stay(docs: DataFrame, id_col: str, text_col: str, pct: int) -> DataFrame:
-    """doc, h, stay: the numbers of the lines that stay, a row a document."""
-    kept = kept_lines(docs, id_col, text_col, pct)
-    with C.settings(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": HELD}):
-        return C.cut(kept.repartition("doc", "h").groupBy("doc", "h").agg(F.collect_list("line").alias("stay")))
+    """doc, h, stay: the numbers of the lines that stay, a row a document of which any does."""
+    spark = docs.sparkSession
+    with C.short_plans(spark):
+        groups, removed = _first_lines(docs, id_col, text_col, pct)
+        rows = groups.select("o.doc", "o.h", "o.line", F.lit(False).alias("gone"))
+        for table in removed:
+            rows = rows.unionByName(table.select("o.doc", "o.h", "o.line", F.lit(True).alias("gone")))
+        gone = F.collect_list(F.when(F.col("gone"), F.col("line")))
+        with C.settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": HELD}):
+            # array_except leaves one of each
+            stay = rows.repartition("doc", "h").groupBy("doc", "h").agg(F.array_except(F.collect_list("line"), gone).alias("stay"))
+            out = C.cut(stay.where(F.size("stay") > 0))
+        C.release(groups, *removed)
+        return out
 
 
 def _where(lines: Column, test) -> Column:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from melisma.llm import line_dedup as L
 
 from .helpers import docs, words
@@ -71,3 +73,26 @@ def test_short_lines(spark):
     rows = [(1, "All rights reserved.\none two three four\nx"), (2, "kept text\nAll rights reserved.\nx " + "x " * 9999), (3, "reserved. All rights\none two three four five\nnew"), (4, "無空白的一行\n\n \n無空白的一行"), (5, "x")]
     out = {r.doc_id: r.text for r in L.dedup_lines(docs(spark, rows)).collect()}
     assert out == {1: rows[0][1], 2: "kept text", 3: "new", 4: "無空白的一行\n\n "}
+
+
+def test_sketches_never_count_too_many(spark):
+    """Sets around the size where sketches get wider: bits that differ are words that differ, at most."""
+    rng = random.Random(5)
+    sets = [rng.sample(range(1 << 57), n) for n in (1, 20, L.WIDE - 1, L.WIDE, L.WIDE + 1, 80, 300)]
+    sets += [[*s[3:], *rng.sample(range(1 << 57), 4)] for s in sets]
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, keys array<long>")
+    table = table.select("i", (F.size("keys").cast("long") * (1 << 32)).alias("np"), L._odd(F.col("keys")).alias("low"), L._odd_high(F.col("keys")).alias("high"))
+    assert all((r.high == 0) == (len(sets[r.i]) <= L.WIDE) for r in table.collect())
+    for r in table.alias("x").crossJoin(table.alias("y")).select("x.i", F.col("y.i").alias("j"), L._apart().alias("apart")).collect():
+        differ = set(sets[r.i]) ^ set(sets[r.j])
+        assert r.apart <= len(differ) and (r.apart > 0 or len(differ) % 2 == 0)
+
+
+def test_no_join_of_all_classes_with_those_removed(spark, monkeypatch):
+    """Lines that stay are found by document, with those removed beside them."""
+    joins = []
+    plain = L.C.join_small
+    monkeypatch.setattr(L.C, "join_small", lambda big, small, key, how="left", **more: joins.append((tuple(big.columns), how)) or plain(big, small, key, how, **more))
+    rows = corpus(3)
+    L.dedup_lines(docs(spark, rows)).count()
+    assert (("cid", "o"), "left_anti") not in joins

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PCT = 80
-SLOT_BITS = 18
+SLOT_BITS = 20
 #: Under a word that more classes have in their prefixes, they are compared with two of them first.
 MANY = 256
 #: Sets of more words have sketches of 128 bits, others of 64.
@@ -52,15 +52,21 @@ def _doc(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(key, F.lit(_LAST)).alias("doc"), _mark(key, text).alias("h"), text.alias("text"))
 
 
-def _tokens(text: Column, *more: str) -> Column:
-    """A text cut at single gaps, in a way that needs no regular expression; empty strings stay between double gaps."""
-    for gap in ("\t", "\x0b", "\x0c", "\r", *more):
-        text = F.replace(text, F.lit(gap), F.lit(" "))
-    return F.split(text, " ")
+def _spaced(text: Column) -> Column:
+    """The text with its other gaps made spaces, but for newlines. Most texts have none, which takes no regular expression."""
+    found = F.lit(False)
+    for gap in "\t\r\x0b\x0c":
+        found = found | F.contains(text, F.lit(gap))
+    return F.when(found, F.regexp_replace(text, r"[\t\x0B\x0C\r]", " ")).otherwise(text)
+
+
+def _tokens(spaced: Column) -> Column:
+    """A text cut at single spaces, which takes no regular expression; empty strings stay between double spaces."""
+    return F.split(spaced, " ")
 
 
 def _word_set(line: Column) -> Column:
-    """The hashes of a line's distinct words."""
+    """The hashes of the distinct words of a line with spaces only."""
     return F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
@@ -75,17 +81,20 @@ def _rank(n: int) -> int:
 
 def word_ranks(rows: DataFrame) -> bytes:
     """For each slot of word hashes one byte, the logarithm of its count: a table of 2**SLOT_BITS bytes for any corpus."""
-    words = rows.select(F.explode(_tokens(F.col("text"), "\n")).alias("t")).select(_slot(F.xxhash64("t")).alias("slot"))
+    words = rows.select(F.explode(_tokens(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("t")).select(_slot(F.xxhash64("t")).alias("slot"))
     table = bytearray(1 << SLOT_BITS)
-    for part in words.groupBy("slot").count().groupBy((F.col("slot") % 64).alias("p")).agg(F.collect_list("slot").alias("slots"), F.collect_list("count").alias("counts")).toLocalIterator():
-        for slot, n in zip(part.slots, part.counts, strict=True):
-            table[slot] = _rank(n)
+    counts = words.groupBy("slot").count().groupBy((F.col("slot") % 64).alias("p")).agg(F.collect_list("slot").alias("slots"), F.collect_list("count").alias("counts"))
+    # all slots in the map of fixed-size rows; beyond its capacity each word is looked up in two
+    with C.settings(rows.sparkSession, {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": SLOT_BITS + 1}):
+        for part in counts.toLocalIterator():
+            for slot, n in zip(part.slots, part.counts, strict=True):
+                table[slot] = _rank(n)
     return bytes(table)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """doc, h, line, l: the lines of all texts."""
-    return rows.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    """doc, h, line, l: the lines of all texts, their gaps made spaces."""
+    return rows.select("doc", "h", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l"))
 
 
 def _keyed(lines: DataFrame, ranks: bytes) -> DataFrame:
@@ -121,6 +130,11 @@ def _may_match(pct: int) -> Column:
     return (100 * F.least(n1, n2) >= pct * F.greatest(n1, n2)) & ((100 + pct) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= pct * (n1 + n2)) & ((100 + pct) * _apart() <= (100 - pct) * (n1 + n2))
 
 
+def _band(n: Column, pct: int) -> Column:
+    """Sizes that can match lie in the same band or the next; bands are a little wider than that takes."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(101 / pct))).cast("int")
+
+
 def classes(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, pct: int) -> DataFrame:
     """cid, o (the first line: doc, line, h), m (lines), n, low, high, prefix of each class of lines. Sets too small to
     match any but an equal one have no prefix."""
@@ -140,7 +154,7 @@ def _verified(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str,
     wanted = C.cut(lines.groupBy("o.doc", "o.h").agg(F.collect_list(F.struct("o.line", "cid")).alias("at")).withColumn("d", F.struct("doc", "h")).select("d", "at"))
     rows = C.join_small(_doc(docs, id_col, text_col).withColumn("d", F.struct("doc", "h")), wanted, "d", "inner", salted=False)
     # a generated column, so that a text is split once and not for each of its lines
-    rows = rows.select("doc", "h", "at", F.explode(F.array(F.split("text", "\n"))).alias("ls"))
+    rows = rows.select("doc", "h", "at", F.explode(F.array(F.split(_spaced(F.col("text")), "\n"))).alias("ls"))
     some = rows.select("doc", "h", F.explode(F.transform("at", lambda x: F.struct(x["cid"].alias("cid"), x["line"].alias("line"), F.get("ls", x["line"]).alias("l")))).alias("t"))
     sets = C.cut(some.select("t.cid", F.struct("doc", "t.line", "h").alias("o"), _word_set(F.col("t.l")).alias("words")).dropDuplicates(["cid"]))
     side = lambda c, i: sets.select(F.col("cid").alias(c), F.col("o").alias(f"o{i}"), F.col("words").alias(f"w{i}"))
@@ -179,8 +193,8 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, pct: int) -> tuple
     near = met.groupBy("cid").agg(F.min(F.struct(_apart().alias("apart"), F.col("y.cid").alias("b"))).alias("t")).select(F.col("cid").alias("a"), F.col("t.b").alias("b"))
     done = C.cut(pairs.unionByName(near).distinct())
     removed = _verified(done, groups, docs, id_col, text_col, pct)
-    # what is still open against all that began earlier; lengths that can match lie in the same band or the next
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / pct))).cast("int")
+    # what is still open against all that began earlier
+    band = _band(F.col("n"), pct)
     y = shared.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
     x = C.join_small(shared, removed.select("cid"), "cid", "left_anti", salted=False).withColumn("band", band).alias("x")
     more = x.join(y, F.expr("x.word = y.word and x.band = y.band and y.o < x.o") & _may_match(pct)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
@@ -234,7 +248,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     none = F.array().cast("array<int>")
-    lines = F.coalesce(_where(F.split(text, "\n"), lambda l: l.rlike(C.WORD)), none)
+    lines = F.coalesce(_where(F.split(text, "\n"), lambda l: F.ltrim(l, F.lit(" \t\x0b\x0c\r")) != ""), none)
     rows = docs.select("doc_id", F.coalesce(key, F.lit(_LAST)).alias("doc"), _mark(key, text).alias("h"), lines.alias("lines"))
     gone = F.array_except("lines", F.coalesce("stay", none))
     rows = rows.join(_stay(docs, "doc_id", "text", PCT), ["doc", "h"], "left")

@@ -96,3 +96,17 @@ def test_no_join_of_all_classes_with_those_removed(spark, monkeypatch):
     rows = corpus(3)
     L.dedup_lines(docs(spark, rows)).count()
     assert (("cid", "o"), "left_anti") not in joins
+
+
+def test_rare_words_keep_their_ranks_among_many(spark):
+    """Most of 400,000 words that occur once have a slot of their own, and so the lowest rank."""
+    rows = spark.range(4000).select(F.lit(0).alias("h"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), (F.col("id") * 100 + i).cast("string")))).alias("text"))
+    ranks = L.word_ranks(rows)
+    assert ranks.count(bytes([L._rank(1)])) > 200_000
+
+
+def test_all_gaps_and_none_but_spaces(spark):
+    texts = ["a b  c", "a\tb c\r", "\x0ba\x0cb\n\tc  a", "", "é\x0b x y \r\n", None]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    out = {r.i: r.ws for r in table.select("i", F.array_remove(L._tokens(F.replace(L._spaced(F.col("text")), F.lit("\n"), F.lit(" "))), "").alias("ws")).collect()}
+    assert out == {i: None if t is None else words(t) for i, t in enumerate(texts)}
